@@ -32,7 +32,7 @@ from tidelog.llm.common import Stages, partitions, slices, text_of
 LENGTH = 400
 GRAM = 64
 #: Neighbourhoods of one anchor that a task may hold, each under 2 * LENGTH bytes.
-GROUP = 200
+GROUP = 2000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
