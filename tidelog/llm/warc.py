@@ -57,7 +57,7 @@ def response(key: int | None, url: str, html: str, date: str) -> tuple:
     payload = html.encode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload
-    return (key, "response", record_id("response", str(key), url), None, url, date, "application/http; msgtype=response", len(block), digest(payload), digest(block), None, block)
+    return (key, "response", record_id("response", str(key), url, digest(payload)), None, url, date, "application/http; msgtype=response", len(block), digest(payload), digest(block), None, block)
 
 
 def derive(record: dict) -> list[tuple]:
