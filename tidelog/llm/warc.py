@@ -47,7 +47,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(html: str) -> str:
     """Visible text, one line per block; entities resolved, white space collapsed, empty lines dropped."""
-    s = _TAG.sub("", _BREAK.sub("\n", _GONE.sub(" ", html)))
+    s = _TAG.sub("", _BREAK.sub("\n", _GONE.sub("", html)))
     lines = (_BLANK.sub(" ", x).strip() for x in entities.unescape(s).split("\n"))
     return "\n".join(x for x in lines if x)
 
