@@ -69,7 +69,7 @@ def derive(record: dict) -> list[tuple]:
     html = payload.decode("utf-8", "replace")
     source = json.dumps({"status": status, "headers": headers}, ensure_ascii=False)
     title, lang = _TITLE.search(html), _LANG.search(html)
-    links = [entities.unescape(next(x for x in m if x or x == m[2])) for m in _LINK.findall(_GONE.sub(" ", html))]
+    links = [entities.unescape(m[0] or m[1] or m[2]) for m in _LINK.findall(_GONE.sub(" ", html))]
     text = plain_text(html).encode()
     about = {
         "url": record["target_uri"], "status": status, "headers": headers, "payload_digest": record["payload_digest"], "payload_length": len(payload),
