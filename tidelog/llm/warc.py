@@ -47,7 +47,11 @@ def record_id(*parts: str) -> str:
 
 def plain_text(html: str) -> str:
     """Visible text, one line per block; entities resolved, white space collapsed, empty lines dropped."""
-    s = _TAG.sub("", _BREAK.sub("\n", _GONE.sub("", html)))
+    return _visible(_GONE.sub("", html))
+
+
+def _visible(shown: str) -> str:
+    s = _TAG.sub("", _BREAK.sub("\n", shown))
     lines = (_BLANK.sub(" ", x).strip() for x in entities.unescape(s).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -67,10 +71,11 @@ def derive(record: dict) -> list[tuple]:
     headers = [x.split(":", 1) for x in fields if ":" in x]
     headers = [[k.strip(), v.strip()] for k, v in headers]
     html = payload.decode("utf-8", "replace")
+    shown = _GONE.sub("", html)
     source = json.dumps({"status": status, "headers": headers}, ensure_ascii=False)
     title, lang = _TITLE.search(html), _LANG.search(html)
-    links = [entities.unescape(m[0] or m[1] or m[2]) for m in _LINK.findall(_GONE.sub(" ", html))]
-    text = plain_text(html).encode()
+    links = [entities.unescape(m[0] or m[1] or m[2]) for m in _LINK.findall(shown)]
+    text = _visible(shown).encode()
     about = {
         "url": record["target_uri"], "status": status, "headers": headers, "payload_digest": record["payload_digest"], "payload_length": len(payload),
         "title": plain_text(title[1]) if title else None, "lang": lang[1] if lang else None, "links": links, "text_length": len(text),
