@@ -155,6 +155,8 @@ def test_near_copies_in_a_chain_and_a_crowd(spark, odd):
         for _ in range(rng.randrange(1, 5)):
             w[rng.randrange(100)] = f"y{rng.randrange(10**6)}"
         rows.append((300 + i, " ".join(w)))
+        if i % 10 == 0:  # rows of one doc_id with different texts
+            rows.append((300 + i, " ".join(f"z{i}-{j}" if j < 50 else x for j, x in enumerate(w))))
     rows += [(500 + i, t) for i, t in enumerate(["one two", "ONE  two", "one", "", None, "one two three four five", "a b c d e f g h", "b c d e f g h"])]
     rows += texts(odd)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -13,6 +13,11 @@ not all pairs are made: pivots are compared with the members outside their compo
 pivots multiply by PIVOT_GROWTH a round until each band holds one component or every pair
 across components has been tested. No link between different texts is lost to a cap.
 
+Most members that no pivot reached can be set aside without a comparison. Only shingles that
+occur in another open document can be shared; if c of a document's n shingles do, a partner
+of size m needs SIMILAR's share of the union, so (need + of) * c >= need * (n + m). Documents
+that no size in their band satisfies leave it, and pairs that break the bound are not made.
+
 With COORDINATES = 160 in bands of 4, a pair at similarity 0.75 shares no band with
 probability (1 - 0.75^4)^40 < 3e-7.
 """
@@ -32,6 +37,7 @@ SHINGLE_WORDS = 5
 COORDINATES, BAND = 160, 4
 SIMILAR = (75, 100)
 PIVOT_GROWTH = 8
+PASSES = 2
 #: Stands for a null doc_id while components are computed: after every other id.
 NO_ID = (1 << 62) - 1
 _U = np.uint64
@@ -153,6 +159,43 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(lambda bs: rows_out(schema, run)(slices(bs, "x")), "a long, b long")
 
 
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(node, shingle) for every element of ``sets``."""
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches, "shingles"):
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], schema=schema)
+
+    return sets.mapInArrow(run, "node long, shingle long")
+
+
+def open_entries(active: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
+    """Of (band, node, n, label) those that may still have a partner in another component of
+    their band, with ``common``: how many of the node's shingles another open node has.
+
+    What leaves takes its shingles along, which opens the bound for others; PASSES bounds
+    the number of times that this is followed, not the result.
+    """
+    need, of = SIMILAR
+    several = sets.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")  # their n is that of one text, so nothing is taken off
+    for _ in range(PASSES):
+        nodes = active.select("node").distinct()
+        apart = shingle_rows(sets.join(nodes, "node", "left_semi")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+        lone = apart.groupBy("node").agg(F.count("*").alias("lone")).join(several, "node", "left_anti")
+        least = active.groupBy("band").agg(F.min("n").alias("least_n"))
+        known = active.select("band", "node", "n", "label").join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).join(least, "band")
+        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * need / of))
+        left = known.where((need + of) * F.col("common") >= need * (F.col("n") + smallest)).select("band", "node", "n", "label", "common")
+        mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+        left = stages.keep(left.join(mixed, "band", "left_semi"))
+        stages.drop(active)
+        active = left
+    return active
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -198,14 +241,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
         labelled = active.select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
         # retired pivots stay out: they met every member; what is left matters where components still differ
         mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        active = stages.keep(labelled.join(mixed, "band", "left_semi"))
+        active = open_entries(stages.keep(labelled.join(mixed, "band", "left_semi")), sets, stages)
         if not active.limit(1).count():
             break
         pivots *= PIVOT_GROWTH
         sizes = active.groupBy("band", "label").agg(F.count("*").alias("size"))
         order = Window.partitionBy("band").orderBy(F.desc("size"), "label", "node")
-        chosen = stages.keep(active.join(sizes, ["band", "label"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("band", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label")))
-        met = active.join(chosen, "band").where("label <> p_label").where(close("n", "p_n"))
+        chosen = stages.keep(active.join(sizes, ["band", "label"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("band", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("common").alias("p_common")))
+        # a pair meets in the least band that it shares, so that it is made once
+        at = active.groupBy("node").agg(F.collect_list("band").alias("at"))
+        p_at = chosen.groupBy("p").agg(F.collect_list("band").alias("p_at"))
+        met = active.join(at, "node").join(chosen.join(p_at, "p"), "band").where("label <> p_label").where(close("n", "p_n"))
+        met = met.where((need + of) * F.least("common", "p_common") >= need * (F.col("n") + F.col("p_n"))).where(F.array_min(F.array_intersect("at", "p_at")) == F.col("band"))
         pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         done = chosen.select("band", F.col("p").alias("node"))
 
