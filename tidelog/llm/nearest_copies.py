@@ -57,7 +57,7 @@ class Shingler:
     def __init__(self):
         import xxhash
 
-        self._memo = Memo(xxhash.xxh3_64_intdigest)
+        self._memo = Memo(xxhash.xxh3_64_intdigest, 1 << 17)
 
     def __call__(self, text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
         # bytes.lower and bytes.split know ASCII letters and \x20 \x09-\x0d only, which is what is asked for
