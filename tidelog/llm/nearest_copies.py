@@ -37,7 +37,6 @@ SHINGLE_WORDS = 5
 COORDINATES, BAND = 160, 4
 SIMILAR = (75, 100)
 PIVOT_GROWTH = 8
-PASSES = 2
 #: Stands for a null doc_id while components are computed: after every other id.
 NO_ID = (1 << 62) - 1
 _U = np.uint64
@@ -173,27 +172,17 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
 
 
 def open_entries(active: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
-    """Of (band, node, n, label) those that may still have a partner in another component of
-    their band, with ``common``: how many of the node's shingles another open node has.
-
-    What leaves takes its shingles along, which opens the bound for others; PASSES bounds
-    the number of times that this is followed, not the result.
-    """
+    """Of (band, node, n, label, least_n) those that may still have a partner in their band,
+    with ``common``: how many of the node's shingles another open node has."""
     need, of = SIMILAR
     several = sets.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")  # their n is that of one text, so nothing is taken off
-    for _ in range(PASSES):
-        nodes = active.select("node").distinct()
-        apart = shingle_rows(sets.join(nodes, "node", "left_semi")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
-        lone = apart.groupBy("node").agg(F.count("*").alias("lone")).join(several, "node", "left_anti")
-        least = active.groupBy("band").agg(F.min("n").alias("least_n"))
-        known = active.select("band", "node", "n", "label").join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0))).join(least, "band")
-        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * need / of))
-        left = known.where((need + of) * F.col("common") >= need * (F.col("n") + smallest)).select("band", "node", "n", "label", "common")
-        mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        left = stages.keep(left.join(mixed, "band", "left_semi"))
-        stages.drop(active)
-        active = left
-    return active
+    apart = shingle_rows(sets.join(active.select("node").distinct(), "node", "left_semi")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+    lone = apart.groupBy("node").agg(F.count("*").alias("lone")).join(several, "node", "left_anti")
+    known = active.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * need / of))
+    left = stages.keep(known.where((need + of) * F.col("common") >= need * (F.col("n") + smallest)).select("band", "node", "n", "label", "common"))
+    stages.drop(active)
+    return left
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -240,9 +229,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         active = active.join(done, ["band", "node"], "left_anti") if done is not None else active
         labelled = active.select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
         # retired pivots stay out: they met every member; what is left matters where components still differ
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        active = open_entries(stages.keep(labelled.join(mixed, "band", "left_semi")), sets, stages)
-        if not active.limit(1).count():
+        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("band", "least_n")
+        active = open_entries(stages.keep(labelled.join(mixed, "band")), sets, stages)
+        if not active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").limit(1).count():
             break
         pivots *= PIVOT_GROWTH
         sizes = active.groupBy("band", "label").agg(F.count("*").alias("size"))
