@@ -187,12 +187,12 @@ def covers(groups: DataFrame) -> DataFrame:
     """Rows (anchor, doc_id, digest, at, first, text) of one anchor stand together; gives the stretches that repeats cover."""
 
     def close(rows: list[tuple]) -> list[tuple]:
-        out = []
+        spans: list[list[tuple[int, int]]] = [[] for _ in rows]
         for offset, n, members in maximal_repeats([(t, at - first) for _, _, at, first, t in rows]):
             for i in members:
-                doc, digest, at, _, _ = rows[i]
-                out.append((doc, digest, at + offset, at + offset + n))
-        return out
+                at = rows[i][2] + offset
+                spans[i].append((at, at + n))
+        return [(doc, digest, s, e) for (doc, digest, *_), own in zip(rows, spans, strict=True) if own for s, e in merge(*zip(*own, strict=True))]
 
     def run(batches):
         anchor, rows = None, []
