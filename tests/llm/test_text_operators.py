@@ -164,6 +164,20 @@ def test_near_copies_in_a_chain_and_a_crowd(spark, odd):
     assert near(df.where("false")) == []
 
 
+def test_near_copies_on_both_sides_of_the_threshold(spark):
+    """Groups without their original, with edits out of few words, so that texts meet through what they changed alike."""
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(rng.choice((40, 90, 150)))]
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 18)):
+                at, kind = rng.randrange(len(w)), rng.randrange(4)
+                w[at : at + (kind != 1)] = [f"e{group}-{rng.randrange(4)}"] if kind != 2 else []
+            rows.append((rng.randrange(10**6), " ".join(w[: rng.choice((len(w), len(w), len(w) * 4 // 5))])))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     with np.errstate(over="ignore"):

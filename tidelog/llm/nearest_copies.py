@@ -9,14 +9,18 @@ documents that agree on a band are candidates, and candidates are confirmed on t
 shingle sets.
 
 Copies with equal shingle sets form one class, so they are never compared. Within a band
-not all pairs are made: pivots are compared with the members outside their component, and
-pivots multiply by PIVOT_GROWTH a round until each band holds one component or every pair
-across components has been tested. No link between different texts is lost to a cap.
+not all pairs are made. First each member meets the band's least one, the pivot. Bands that
+then hold several components are handed to reference sets: a band's reference is its largest
+component, whose set R holds the shingles that most of its members have. For texts x and y
 
-Most members that no pivot reached can be set aside without a comparison. Only shingles that
-occur in another open document can be shared; if c of a document's n shingles do, a partner
-of size m needs SIMILAR's share of the union, so (need + of) * c >= need * (n + m). Documents
-that no size in their band satisfies leave it, and pairs that break the bound are not made.
+    |x & y| <= min(|x & R|, |y & R|) + |(x - R) & (y - R)|
+
+so x and y of different components can be similar only if min(|x & R|, |y & R|) alone
+reaches the share needed, or if they share a shingle outside R. Both kinds are found by joins:
+the first on the reference, among the few with that much of R, the second on rare shingles
+outside R, of which a text needs only its rarest (prefix filtering: it must share at least r,
+so one of all but r - 1 of them). Every other pair is proven not similar, so no link between
+different texts is lost, and a text just under the threshold doesn't meet a whole group.
 
 With COORDINATES = 160 in bands of 4, a pair at similarity 0.75 shares no band with
 probability (1 - 0.75^4)^40 < 3e-7.
@@ -27,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import Memo, Stages, rows_out, slices, text_of
@@ -36,7 +40,8 @@ from tidelog.llm.components import components
 SHINGLE_WORDS = 5
 COORDINATES, BAND = 160, 4
 SIMILAR = (75, 100)
-PIVOT_GROWTH = 8
+#: Band entries of one reference that are dealt out together; larger ones go to several tasks.
+SLOT_ENTRIES = 1000
 #: Stands for a null doc_id while components are computed: after every other id.
 NO_ID = (1 << 62) - 1
 _U = np.uint64
@@ -158,31 +163,105 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(lambda bs: rows_out(schema, run)(slices(bs, "x")), "a long, b long")
 
 
-def shingle_rows(sets: DataFrame) -> DataFrame:
-    """(node, shingle) for every element of ``sets``."""
-    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64())])
+def close(a: str, b: str) -> F.Column:
+    """Whether sizes allow the similarity."""
+    need, of = SIMILAR
+    return of * F.least(F.col(a), F.col(b)) >= need * F.greatest(F.col(a), F.col(b))
+
+
+def shared_at_least(n: F.Column, other: F.Column) -> F.Column:
+    """How many shingles texts of these sizes must share."""
+    need, of = SIMILAR
+    return F.ceil(need * (n + other) / (need + of))
+
+
+def referenced(labelled: DataFrame) -> DataFrame:
+    """Of entries (band, node, n, label), those in bands of several labels, by reference:
+    (ref, slot, slots, own, least, node, n, label, weight). ``own`` is the sum of ``weight``
+    over the reference's own members, ``least`` the smallest n that its bands hold."""
+    votes = labelled.groupBy("band", "label").agg(F.count("*").alias("entries"), F.min("n").alias("least"))
+    top = F.max(F.struct("entries", (-F.col("label")).alias("minus"))).alias("top")
+    mixed = votes.groupBy("band").agg(top, F.count("*").alias("labels"), F.sum("entries").alias("entries"), F.min("least").alias("least")).where("labels > 1")
+    mixed = mixed.select("band", (-F.col("top.minus")).alias("ref"), F.col("top.entries").alias("own"), "entries", "least")
+    refs = mixed.groupBy("ref").agg(F.sum("own").alias("own"), F.min("least").alias("least"), (1 + F.floor(F.sum("entries") / SLOT_ENTRIES)).alias("slots"))
+    found = labelled.join(mixed.select("band", "ref").join(refs, "ref"), "band")
+    slot = F.pmod(F.xxhash64("node"), "slots").alias("slot")
+    return found.groupBy("ref", "slots", "own", "least", "node", "n", "label").agg(F.count("*").alias("weight")).select("*", slot)
+
+
+def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Joined by node and size: rows of one doc_id may hold several texts."""
+    return rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles"), ["node", "n"])
+
+
+def reference_sets(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ref, core array<long>): the shingles that most of a reference's own members have, by weight."""
+    schema = pa.schema([("ref", pa.int64()), ("own", pa.int64()), ("weight", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches, "shingles"):
+            for ref, own, weight, s in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), v)) for v in (ref, own, weight)), pa.array(s)], schema=schema)
+
+    members = with_sets(group.where("label = ref").select("node", "n", "ref", "own", "weight"), sets)
+    held = members.select("ref", "own", "weight", "shingles").mapInArrow(run, "ref long, own long, weight long, shingle long")
+    most = held.groupBy("ref", "own", "shingle").agg(F.sum("weight").alias("weight")).where("2 * weight > own")
+    return most.groupBy("ref").agg(F.collect_list("shingle").alias("core"))
+
+
+_PARTED = "ref long, slot long, slots long, least long, node long, n long, label long, inside long, outside array<long>"
+
+
+def parted(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each text against its reference set: how many shingles lie inside, and which outside."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("ref", "slot", "slots", "least", "node", "n", "label", "inside")), ("outside", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches, "shingles"):
-            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            inside, outside = [], []
+            for core, s in zip(b.column(7), b.column(8), strict=True):
                 s = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], schema=schema)
+                hit = np.isin(s, core.values.to_numpy() if core.is_valid else np.empty(0, np.int64))
+                inside.append(int(hit.sum()))
+                outside.append(s[~hit])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], schema=schema)
 
-    return sets.mapInArrow(run, "node long, shingle long")
+    # every task that holds a part of a large reference gets a copy of its set
+    slots = group.select("ref", "slot").distinct()
+    core = slots.join(reference_sets(group, sets), "ref")
+    joined = with_sets(group.join(core, ["ref", "slot"], "left"), sets)
+    return joined.select("ref", "slot", "slots", "least", "node", "n", "label", "core", "shingles").mapInArrow(run, _PARTED)
 
 
-def open_entries(active: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
-    """Of (band, node, n, label, least_n) those that may still have a partner in their band,
-    with ``common``: how many of the node's shingles another open node has."""
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of different labels that agree on ``keys`` (``ref`` is one), each pair from one side. The left side is not of the
+    reference's label, so the members of a large reference don't meet each other."""
+    x = left.where("label <> ref").select(*keys, *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", "inside")))
+    y = right.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label", "inside")))
+    once = (F.col("b_label") == F.col("ref")) | (F.col("a_node") < F.col("b_node"))
+    return x.join(y, keys).where(F.col("a_label") != F.col("b_label")).where(once).where(close("a_n", "b_n"))
+
+
+def residual_pairs(labelled: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
+    """Pairs (a, b) of different labels in a band of (band, node, n, label) that the reference sets don't rule out."""
     need, of = SIMILAR
-    several = sets.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1")  # their n is that of one text, so nothing is taken off
-    apart = shingle_rows(sets.join(active.select("node").distinct(), "node", "left_semi")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
-    lone = apart.groupBy("node").agg(F.count("*").alias("lone")).join(several, "node", "left_anti")
-    known = active.join(lone, "node", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
-    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * need / of))
-    left = stages.keep(known.where((need + of) * F.col("common") >= need * (F.col("n") + smallest)).select("band", "node", "n", "label", "common"))
-    stages.drop(active)
-    return left
+    held = stages.keep(parted(stages.keep(referenced(labelled)), sets))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * need / of))
+    rows = held.withColumn("wanted", shared_at_least(F.col("n"), smallest) - F.col("inside"))
+
+    alone = rows.where("wanted <= 0")
+    dealt = alone.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    inside = _meet(dealt, alone, ["ref", "slot"]).where(F.least("a_inside", "b_inside") >= shared_at_least(F.col("a_n"), F.col("b_n")))
+
+    text = ["ref", "node", "n", "label", "inside", "wanted"]
+    loose = rows.select(*text, F.explode("outside").alias("shingle"))
+    shared = loose.groupBy("ref", "shingle").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("ref", "shingle", "times")
+    rarest = loose.join(shared, ["ref", "shingle"]).groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") + 1 - F.greatest(F.col("wanted"), F.lit(1))).cast("int"))
+    outer = stages.keep(rarest.select(*text, F.explode(prefix).alias("s")).select(*text, "s.shingle"))
+    found = inside.select("a_node", "b_node").unionByName(_meet(outer, outer, ["ref", "shingle"]).select("a_node", "b_node"))
+    return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -196,7 +275,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     stages = Stages(spark, "near")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    need, of = SIMILAR
     rows = stages.keep(signatures(docs))
     classes = stages.keep(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
@@ -204,13 +282,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     members = stages.keep(entries.join(shared.select("band", "first"), "band").select("band", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
 
-    def close(a: str, b: str) -> F.Column:
-        return of * F.least(a, b) >= need * F.greatest(a, b)
-
     pairs = members.where(F.col("node") > F.col("pivot")).where(close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     # rows of one doc_id belong together, also where their texts differ
     own = rows.join(classes.select("class", "node"), "class").select("doc_id", "node").distinct()
-    edges = stages.keep(own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+    edges = own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     sets = stages.keep(shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")).distinct())
 
     def confirmed(p):
@@ -218,32 +293,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return similar(p.join(x, "a").join(y, "b"))
 
-    active = members.select("band", "node", "n")
-    done = members.select("band", F.col("pivot").alias("node")).distinct()
-    labels, tested, pivots = None, None, 1
-    while True:
-        pairs = stages.keep(pairs)
-        edges = stages.keep(edges.unionByName(confirmed(pairs)))
-        tested = pairs if tested is None else stages.keep(tested.unionByName(pairs))
-        labels = components(edges, stages)
-        active = active.join(done, ["band", "node"], "left_anti") if done is not None else active
-        labelled = active.select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-        # retired pivots stay out: they met every member; what is left matters where components still differ
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("band", "least_n")
-        active = open_entries(stages.keep(labelled.join(mixed, "band")), sets, stages)
-        if not active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").limit(1).count():
-            break
-        pivots *= PIVOT_GROWTH
-        sizes = active.groupBy("band", "label").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("band").orderBy(F.desc("size"), "label", "node")
-        chosen = stages.keep(active.join(sizes, ["band", "label"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("band", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"), F.col("common").alias("p_common")))
-        # a pair meets in the least band that it shares, so that it is made once
-        at = active.groupBy("node").agg(F.collect_list("band").alias("at"))
-        p_at = chosen.groupBy("p").agg(F.collect_list("band").alias("p_at"))
-        met = active.join(at, "node").join(chosen.join(p_at, "p"), "band").where("label <> p_label").where(close("n", "p_n"))
-        met = met.where((need + of) * F.least("common", "p_common") >= need * (F.col("n") + F.col("p_n"))).where(F.array_min(F.array_intersect("at", "p_at")) == F.col("band"))
-        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        done = chosen.select("band", F.col("p").alias("node"))
+    edges = stages.keep(edges.unionByName(confirmed(stages.keep(pairs))))
+    labels = components(edges, stages)
+    # the pivots met every member; what is left matters where components still differ
+    left = members.where("node <> pivot or n <> pivot_n").select("band", "node", "n")
+    labelled = stages.keep(left.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")))
+    late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages))))
+    stages.drop(labelled)
+    if late.limit(1).count():
+        labels = components(edges.unionByName(late), stages)
 
     of_class = classes.select("class", F.col("node").alias("class_node"))
     found = rows.select("doc_id", "n", "class").join(of_class, "class", "left").withColumn("node", F.coalesce("class_node", F.when(F.col("n") > 0, F.col("doc_id"))))
