@@ -311,6 +311,17 @@ def test_masking(odd, spark):
     assert got == {1: "mail é🙂 <EMAIL> or <IP>", 2: None, 3: "clean"} and personal_data.masked(df).columns == df.columns
 
 
+def test_masking_of_overlaps(spark):
+    texts = {
+        "write 123.45.67.89.joe.smith@example.com now": "write <EMAIL> now",
+        "+49 30 12345678.jane.doe@example.com": "<EMAIL>",
+        "+14155552671@example.com, 10.0.0.1": "<EMAIL>, <IP>",
+        "é🙂 1.2.3.4.5.6.7.8": "é🙂 <IP>.<IP>",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in personal_data.masked(df).orderBy("doc_id").collect()] == list(texts.values())
+
+
 # -- WARC -----------------------------------------------------------------------
 
 

@@ -221,13 +221,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The rows with every span of ``text`` replaced by its kind in angle brackets; of overlapping spans the first counts. Null text stays null."""
+    """The rows with every span of ``text`` replaced by its kind in angle brackets. Null text stays null.
+
+    Spans that overlap go as one, under the kind of the longest (of equally long ones, the first).
+    """
     found = find(docs.withColumn("_as_is", F.col("text")))
     found = found.withColumn("_by", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+    # at: the end of what is written; start, end, size, kind: the open stretch, the length and kind of its longest span
+    opened = "'start', x.start, 'end', x.end, 'size', x.end - x.start, 'kind', x.kind"
+    written = "concat(a.out, array(substring(_as_is, a.at + 1, a.start - a.at), concat('<', upper(a.kind), '>')))"
     text = F.expr(
-        "aggregate(_by, named_struct('at', 0, 'out', cast(array() as array<string>)),"
-        " (a, x) -> if(x.start < a.at, a, named_struct('at', x.end, 'out', concat(a.out, array(substring(_as_is, a.at + 1, x.start - a.at), concat('<', upper(x.kind), '>'))))),"
-        " a -> concat(array_join(a.out, ''), substring(_as_is, a.at + 1)))"
+        "aggregate(_by, named_struct('at', 0, 'start', 0, 'end', 0, 'size', 0, 'kind', cast(null as string), 'out', cast(array() as array<string>)),"
+        " (a, x) -> case when a.kind is null then named_struct('at', a.at, " + opened + ", 'out', a.out)"
+        " when x.start < a.end then named_struct('at', a.at, 'start', a.start, 'end', greatest(a.end, x.end), 'size', greatest(a.size, x.end - x.start), 'kind', if(x.end - x.start > a.size, x.kind, a.kind), 'out', a.out)"
+        " else named_struct('at', a.end, " + opened + ", 'out', " + written + ") end,"
+        " a -> concat(array_join(" + written + ", ''), substring(_as_is, a.end + 1)))"
     )
     changed = F.when(F.size("_by") > 0, text).otherwise(F.col("_as_is"))
     return found.withColumn("text", changed).select(*docs.columns)
