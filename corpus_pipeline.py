@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 from tidelog.llm import nearest_copies, packing, personal_data, suffixes, toxicity
 from tidelog.llm.common import Stages, table
 
-
-def _decided(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents without the rejected ids. Rows that share an id are judged together."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+ROW = "_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic; those without an id stay."""
-    scores = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _decided(docs, scores.where("predicted = 1"))
+    """Documents not predicted toxic, each row by its own text, with or without an id."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = nearest_copies.near_copies(docs)
-    return _decided(docs, found.where("not kept"))
+    """One row of each group of near copies: of those with the smallest id, any one; null ids come last.
+
+    Rows are judged by their texts alone: rows of one id stay where their texts differ, and
+    copies go whatever their ids. Texts without words are copies of nothing and stay.
+    """
+    # stored, since row numbers would differ when computed again
+    rows = Stages(spark, "rows").keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = nearest_copies.near_copies(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    judged = rows.select(ROW, F.col("doc_id").alias("id")).join(found.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", ROW)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

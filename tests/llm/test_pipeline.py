@@ -47,3 +47,28 @@ def test_stages_take_effect(spark, staged):
 def test_run(spark, staged):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == staged[-1][2].count() and "sequence_id" in got.columns
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    """One row of each content reaches packing, and toxic rows without an id go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = lambda k: " ".join(f"word{k}x{i}" for i in range(90))
+    toxic = toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1")
+    bad = docs.join(toxic, "doc_id", "left_semi").select("text").first().text
+    rows = [(900001, prose(1))] * 3 + [(900002, prose(2)), (None, prose(2))] + [(None, prose(3))] * 2
+    rows += [(900003, prose(4)), (900003, prose(5)), (None, bad), (900004, None), (900004, None)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, given, str(tmp_path))
+    assert clean.columns == given.columns and clean.where(F.col("text") == bad).count() == 0
+    left = corpus_pipeline.drop_near_copies(spark, clean, str(tmp_path))
+    planted = left.where("doc_id > 900000 or doc_id is null").select("doc_id", "text").collect()
+    want = [(900001, prose(1)), (900002, prose(2)), (None, prose(3)), (900003, prose(4)), (900003, prose(5)), (900004, None), (900004, None)]
+    assert sorted(map(tuple, planted), key=repr) == sorted(want, key=repr)
+
+    packed = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id > 900000 or doc_id is null").collect()
+    assert sorted((r.doc_id for r in packed), key=repr) == sorted((d for d, _ in want), key=repr)
+    assert all(r.length > 90 for r in packed if r.doc_id != 900004)
