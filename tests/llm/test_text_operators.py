@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -272,6 +273,21 @@ def test_disguises():
     assert toxicity.forms_of("idiot$$$", channel) == ("idiot",)
 
 
+INSULTS = "you are the worst he is a pathetic stupid idiot and a loser or moron in the trash " * 200
+
+
+def read(text):
+    return toxicity.Restorer(toxicity.trigrams(INSULTS), words=Counter(INSULTS.split()))(text)
+
+
+def test_long_stretches_and_word_ends():
+    assert {"stupid", "moron", "loser"} <= read("y o u a r e a s t u p i d m o r o n a n d l o s e r")
+    assert {"stupid", "moron"} <= read(" ".join("youareastupidmoron" * 40))
+    assert "moron" in read("he is a m o r o n") and "loser" in read("he is a l o s e r")
+    assert "loser" in read("l" + "o" * 60 + "ser")
+    assert {"stupid", "moron", "loser"} <= read("y0u4r34stup1dm0r0n4nd4l0s3r1nth3tr4shy0u4r3th3w0rst")
+
+
 # -- personal data --------------------------------------------------------------
 
 PERSONAL = [
