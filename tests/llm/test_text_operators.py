@@ -288,6 +288,11 @@ def test_long_stretches_and_word_ends():
     assert {"stupid", "moron", "loser"} <= read("y0u4r34stup1dm0r0n4nd4l0s3r1nth3tr4shy0u4r3th3w0rst")
 
 
+@pytest.mark.parametrize("text, word", [("so m. o. r. o. n. it is", "moron"), ("m  o  r  o  n", "moron"), ("an i d ! o t!!", "idiot"), ("$ t u p i d", "stupid"), ("iddiioott", "idiot"), ("a sstuupidd one", "stupid")])
+def test_disguises_that_gates_let_through(text, word):
+    assert word in read(text)
+
+
 # -- personal data --------------------------------------------------------------
 
 PERSONAL = [
