@@ -293,6 +293,24 @@ def test_disguises_that_gates_let_through(text, word):
     assert word in read(text)
 
 
+def test_training_rows(spark, monkeypatch, tmp_path):
+    """Repeated labels and labels without a document take no place; only near copies count once."""
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 40)
+    header = " ".join(f"header{i}" for i in range(30))
+    rows = [(i, f"{header} " + " ".join(f"own{i}x{j}" for j in range(40)) + (" stupid" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60) for _ in range(30)] + [(i, 1) for i in range(1000, 9000)], "doc_id long, toxic int")
+    model, words = toxicity.train(docs, labels, toxicity.character_counts(docs), toxicity.Stages(spark, "training"))
+    assert words["header"] == 40 * 30
+    assert any("stupid".startswith(f.rstrip("*")) for f in model.by_form)
+    Row = type("Row", (), {})
+    made = []
+    for _, text in [*rows[:10], (0, rows[0][1] + " end")]:
+        made.append(Row())
+        made[-1].sketch = toxicity.sketch(text)
+    assert toxicity.near_copies_of(made) == made[10:]
+
+
 # -- personal data --------------------------------------------------------------
 
 PERSONAL = [
