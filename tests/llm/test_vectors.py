@@ -69,3 +69,10 @@ def test_graph_with_copies_and_odd_rows(spark):
     of = lambda q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
     assert of(0) == [1, 2, 3, 4, 5] and of(50) == [0, 1, 2, 3, 4] and of(400) == [] and len(of(100)) == 5
     assert hnsw.nearest(frame(spark, rows).where("vec_id = 100")).count() == 0
+
+
+def test_equal_vectors_behind_a_repeated_query_id():
+    ids = np.array([50] * 8 + [60, 61, 62, 70, 71], np.int64)
+    values = np.array([[1.0, 2.0]] * 11 + [[2.0, 1.0]] * 2)
+    at, score = hnsw.Shard(ids, values).nearest(50, values[0], 5)
+    assert ids[at].tolist() == [60, 61, 62, 70, 71] and score[:3] == pytest.approx(1)

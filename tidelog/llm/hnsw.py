@@ -137,8 +137,9 @@ class Shard:
     def nearest(self, query_id: int, query: np.ndarray, k: int, ef: int = EF_SEARCH) -> tuple[np.ndarray, np.ndarray]:
         unit = query / np.abs(query).max()
         found = self.graph.search(unit / np.sqrt((unit * unit).sum()), max(4 * k, k + 1), ef)
-        at = np.concatenate([self.members[i][: k + 1] for i in found] or [np.empty(0, np.int64)])
-        at = at[self.ids[at] != query_id]
+        # members are in the order of their ids, so the query's own are left out before the cut
+        others = (self.members[i][self.ids[self.members[i]] != query_id][:k] for i in found)
+        at = np.concatenate([*others, np.empty(0, np.int64)])
         score = cosine(self.values[at], query)
         keep = np.lexsort((self.ids[at], -score))[:k]
         return at[keep], score[keep]
