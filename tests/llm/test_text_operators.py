@@ -380,3 +380,12 @@ def test_warc(spark, tmp_path):
     strip = lambda rs: sorted(({k: bytes(v) if k == "block" else v for k, v in r.items() if k != "key" and v} for r in rs), key=repr)
     assert strip(back) == strip(got)
     assert warc.derivatives(source.where("false")).count() == 0
+
+
+def test_warc_query_returns_whole_records(spark):
+    pages = spark.createDataFrame([(1, "http://x/", "<title>T</title><p>a<br>b"), (None, None, None)], "page_id long, url string, html string")
+    got = warc.digest_table(pages)
+    assert set(warc.derivatives(warc.responses(pages)).columns) - {"key"} <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == 4 and all(r.date and hashlib.sha256(bytes(r.block)).hexdigest() == r.block_sha256 for r in rows)
+    assert sorted(bytes(r.block) for r in rows if r.record_type == "conversion") == [b"", b"T\na\nb"]

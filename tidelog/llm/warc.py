@@ -153,6 +153,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest_table(pages: DataFrame) -> DataFrame:
-    """Of every page's derived records: page_id, type, ids, URI, length, digests and the block's SHA-256."""
+    """Every page's derived records, whole: page_id, type, ids, URI, date, length, digests, the block and its SHA-256."""
     out = derivatives(responses(pages))
-    return out.select(F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "payload_digest", "block_digest", "source_headers", F.sha2("block", 256).alias("block_sha256"))
+    return out.select(F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "payload_digest", "block_digest", "source_headers", F.sha2("block", 256).alias("block_sha256"), "block")
