@@ -4,7 +4,8 @@ import pytest
 
 from tidelog.functions import bloom
 from tidelog.functions.checksum import entry_crc
-from tidelog.operators.compaction import split_by_size, split_greedy
+from tidelog.model import CorruptionError
+from tidelog.operators.compaction import split_greedy
 from tidelog.operators.resolve import latest, live, merge_runs
 
 
@@ -39,7 +40,32 @@ def test_merge(spark):
 
 
 def test_splits(spark):
-    df = spark.range(100).selectExpr("lpad(id,3,'0') as key", "repeat('x', 10) as value", "'r' as part")
-    sizes = [r["count"] for r in split_greedy(df, 50, by="part").groupBy("output_run").count().collect()]
-    assert max(sizes) == 3 and sum(sizes) == 100
-    assert split_by_size(df, 130).count() == 100
+    import random
+
+    rng = random.Random(1)
+    sizes = [rng.choice((1, 5, 20, 49, 50, 51, 80)) for _ in range(400)]
+    df = spark.createDataFrame([(f"{i:05d}", "x" * n, f"r{i // 100}") for i, n in enumerate(sizes)], "key string, value string, part string")
+    got = {r.key: r.output_run for r in split_greedy(df, 55, by="part").collect()}
+    for start in range(0, 400, 100):
+        run = full = 0
+        for i in range(start, start + 100):
+            n = 5 + sizes[i]
+            if full and full + n > 55:
+                run, full = run + 1, 0
+            full += n
+            assert got[f"{i:05d}"] == run
+
+
+def test_packed_filters(spark, monkeypatch):
+    keys = spark.range(2000).selectExpr("concat('key-', id) as key")
+    bits, hashes = bloom.sizing(1000, 0.01)
+    words = bloom.build(keys.limit(1000), bits, hashes)
+    raw = bloom.pack(words, bits, hashes)
+    assert len(raw) == 16 + 8 * -(-bits // 64)
+    shipped = {r.key: r.may_contain for r in bloom.probe_words(keys, *bloom.unpack(raw)).collect()}
+    assert shipped == {r.key: r.may_contain for r in bloom.probe(keys, words, bits, hashes).collect()}
+    monkeypatch.setattr(bloom, "SHIPPED_BYTES", 1)
+    assert shipped == {r.key: r.may_contain for r in bloom.probe(keys, words, bits, hashes).collect()}
+    for bad in (b"", raw[:-1], raw + b"x"):
+        with pytest.raises(CorruptionError):
+            bloom.unpack(bad)

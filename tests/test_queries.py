@@ -14,13 +14,3 @@ def duck():
 @pytest.mark.parametrize("name", list(core.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     assert_same(core.queries()[name](spark, SF), duck, core.oracle_sql()[name])
-
-
-def test_split_is_greedy(spark):
-    got = core.queries()["kv_compaction_split"](spark, SF).collect()
-    assert got and all(r.bytes <= 4096 for r in got)
-    by = {}
-    for r in sorted(got, key=lambda r: (r.output_range, r.output_run)):
-        last = by.get(r.output_range)
-        assert last is None or last.max_key < r.min_key
-        by[r.output_range] = r

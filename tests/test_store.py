@@ -114,7 +114,8 @@ def test_compaction_keeps_deletes_until_safe(store):
     assert contents(store) == before and len(before) == 49
     assert not any(r.is_tombstone for r in store.ops().collect())
     assert store.verify() == []
-    assert store.collect_garbage(keep=1) and contents(store) == before
+    assert store.collect_garbage(keep=1) == []  # young files stay
+    assert store.collect_garbage(keep=1, grace=0) and contents(store) == before
 
 
 def test_policy_runs_by_itself(spark, tmp_path):
@@ -234,3 +235,203 @@ def test_stream_appends_once(spark, tmp_path):
             q = append_stream(changes, s, str(tmp_path / "cp"))
             q.awaitTermination(60)
         assert contents(s) == [(b"k", b"v")] and s.stats()["writes"] == 1
+
+
+def test_streams_do_not_meet(spark, tmp_path):
+    """Two streams whose batches have the same numbers, and one that starts anew after a crash between commit and checkpoint."""
+    from tidelog.streaming.ingest import append_stream
+
+    with Store.open(spark, Config(str(tmp_path / "db"))) as s:
+        for k in ("a", "b", "b"):
+            src = str(tmp_path / f"in-{k}")
+            spark.sql(f"select encode('{k}','utf-8') as key, 1L as seq, false as is_tombstone, encode('v','utf-8') as value").write.mode("overwrite").parquet(src)
+            changes = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+            checkpoint = tmp_path / f"cp-{len(s.manifest.streams)}-{s.manifest.version}"
+            append_stream(changes, s, str(checkpoint), name=k).awaitTermination(60)
+        assert contents(s) == [(b"a", b"v"), (b"b", b"v")] and s.stats()["writes"] == 2
+        assert s.manifest.streams == {"a": 0, "b": 0}
+
+
+@pytest.mark.parametrize("step", ["write_part", "claim"])
+def test_writer_dies_at_a_step(spark, tmp_path, step, monkeypatch):
+    c = Config(str(tmp_path / "db"))
+    with Store.open(spark, c) as s:
+        s.put("a", "1")
+    dying = Store.open(spark, c)
+    dying.put("b", "2")
+
+    def die(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(dying.manifests.files, step, die)
+    with pytest.raises(OSError):
+        dying.sync()
+    with Store.open(spark, c) as s:
+        assert contents(s) == [(b"a", b"1")]
+        s.put("c", "3")
+    with Store.open(spark, c) as s:
+        assert contents(s) == [(b"a", b"1"), (b"c", b"3")]
+        s.collect_garbage(keep=1, grace=0)
+        assert contents(s) == [(b"a", b"1"), (b"c", b"3")] and not [n for n in s.files.names("manifest") if n.endswith(".part")]
+
+
+def test_names_are_given_once(spark, tmp_path):
+    from tidelog.sources.files import Files
+
+    f = Files(spark, str(tmp_path))
+    f.publish_json("x.json", {"a": 1})
+    with pytest.raises(ConflictError):
+        f.publish_json("x.json", {"a": 2})
+    assert f.read_json("x.json") == {"a": 1} and f.names() == ["x.json"]
+    # what other file systems use
+    f.write_part("y.part", b"{}")
+    f.rename_new(f._path(f.full("y.part")), f._path(f.full("y.json")))
+    f.write_part("y.part", b"[]")
+    with pytest.raises(Exception):  # noqa: B017  Hadoop's own
+        f.rename_new(f._path(f.full("y.part")), f._path(f.full("y.json")))
+    assert f.read_json("y.json") == {}
+
+
+def test_frames_are_checked_before_they_count(spark, store):
+    bad = spark.sql("select 'k' as key, -5L as seq, false as is_tombstone, 'v' as value")
+    with pytest.raises(ValueError):
+        store.write_frame(bad)
+    assert store.files.names("log") == [] and store.manifest.version == 0
+    store.write_batch([("a", "1")])
+    store.sync()
+    past = Store.open(spark, store.config, version=1)
+    with pytest.raises(ConflictError):
+        past.write_frame(bad.withColumn("seq", bad.seq + 5))
+    assert len(store.files.names("log")) == 1
+    assert store.write_frame(bad.where("false")) == 0
+
+
+def test_refresh_puts_buffered_writes_behind(spark, tmp_path):
+    c = Config(str(tmp_path / "db"))
+    a, b = Store.open(spark, c), Store.open(spark, c)
+    a.write_batch([("k", "a"), ("x", "a")])
+    b.put("k", "b")
+    a.sync()
+    with pytest.raises(ConflictError):
+        b.sync()
+    b.refresh()
+    b.sync()
+    assert contents(Store.open(spark, c)) == [(b"k", b"b"), (b"x", b"a")]
+
+
+def test_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidelog.background import BackgroundWorker
+
+    with Store.open(spark, Config(str(tmp_path / "db"))) as s, BackgroundWorker(s) as worker, ThreadPoolExecutor(4) as pool:
+        writes = [pool.submit(s.put, f"key-{t}-{i}", f"val-{i}") for i in range(50) for t in "ab"]
+        asked = [worker.flush() for _ in range(3)]
+        reads = [pool.submit(s.get, "key-a-1") for _ in range(3)]
+        for f in (*writes, *asked, *reads):
+            f.result()
+        assert len(contents(s)) == 100 and s.get("key-b-49") == b"val-49" and s.verify() == []
+
+
+def test_bounds_of_time(spark, tmp_path):
+    import time
+
+    with Store.open(spark, Config(str(tmp_path / "db"), l0_compaction_trigger=100)) as s:
+        s.write_batch([(f"key{i}", f"value{i}") for i in range(1000)])
+        s.flush()
+        began = time.perf_counter()
+        assert all(s.get("key500") == b"value500" for _ in range(1000))
+        assert time.perf_counter() - began < 5
+        for n in range(10):
+            s.write_batch([(f"k{n}-{i}", "v") for i in range(50)])
+            s.flush()
+        began = time.perf_counter()
+        assert s.multi_get(spark.range(50).selectExpr("concat('k3-', id) as key")).count() == 50
+        assert time.perf_counter() - began < 10
+        began = time.perf_counter()
+        for i in range(250):
+            s.delete(f"key{i}")
+        assert time.perf_counter() - began < 2 and s.scan("key", "kez").count() == 750
+
+
+def test_lookups_meet_checksums(spark, tmp_path):
+    from dataclasses import replace
+
+    with Store.open(spark, Config(str(tmp_path / "db"))) as s:
+        s.write_batch([("a", "1"), ("b", "2")])
+        s.flush()
+        run = s.manifest.runs[0]
+        held = spark.read.parquet(run.path)
+        held.selectExpr("key", "seq", "is_tombstone", "if(key = encode('a', 'utf-8'), encode('9', 'utf-8'), value) as value", "crc").coalesce(1).write.parquet(str(tmp_path / "bad" / "runs" / "L0-x"))
+        s.manifest = replace(s.manifest, runs=(replace(run, path=spark.read.parquet(str(tmp_path / "bad" / "runs" / "L0-x")).inputFiles()[0]),))
+        assert s.get("b") == b"2"
+        with pytest.raises(CorruptionError):
+            s.get("a")
+
+
+def test_compaction_closes_runs_in_time(spark, tmp_path):
+    rng = random.Random(3)
+    c = Config(str(tmp_path / "db"), max_run_size=500, memtable_size_limit=1 << 30, level_base_size=1 << 30)
+    with Store.open(spark, c) as s:
+        pairs = {f"k{rng.randrange(400):04d}": "x" * rng.choice((1, 20, 90, 700)) for _ in range(300)}
+        s.write_batch(pairs.items())
+        s.flush()
+        s.compact_level(0)
+        held = s.ops().selectExpr("input_file_name() as f", "length(key) + length(value) as n").groupBy("f").agg({"n": "sum", "*": "count"}).collect()
+        assert all(r["sum(n)"] <= 500 or r["count(1)"] == 1 for r in held) and len(held) > 3
+        assert contents(s) == sorted((k.encode(), v.encode()) for k, v in pairs.items()) and s.verify() == []
+
+
+def test_recovery_without_manifests(spark, tmp_path):
+    c = Config(str(tmp_path / "db"))
+    with Store.open(spark, c) as s:
+        s.write_batch([("a", "1"), ("b", "1")])
+        s.flush()
+        s.write_batch([("a", "2")])
+        s.flush()
+        with pytest.raises(ConflictError):
+            Store.recover(spark, c)
+        s.files.delete("manifest")
+    with Store.recover(spark, c) as s:
+        assert contents(s) == [(b"a", b"2"), (b"b", b"1")]
+        s.put("a", "3")
+        assert s.get("a") == b"3"
+
+
+def test_caches():
+    from tidelog.plans.cache import LruCache
+
+    gone = []
+    cache = LruCache(10, gone.append)
+    assert not cache.put("large", "x", 11) and len(cache) == 0
+    cache.put("a", 1, 4)
+    cache.put("b", 2, 4)
+    assert cache.get("a") == 1
+    cache.put("c", 3, 4)  # b was used longest ago
+    assert cache.get("b") is None and cache.get("a") == 1 and gone == [2]
+    cache.put("a", 5, 9)
+    assert len(cache) == 1 and cache.used == 9
+    assert cache.stats()["hits"] == 2 and cache.stats()["misses"] == 1
+    cache.clear()
+    assert cache.used == 0 and not cache.invalidate("a")
+
+
+def test_unknown_verb_and_wrong_calls(spark, tmp_path, capsys):
+    from tidelog.cli import main
+
+    for args in (["nonsense"], ["put", "a"], []):
+        with pytest.raises(SystemExit) as e:
+            main(["--dir", str(tmp_path / "db"), *args], spark)
+        assert e.value.code == 1
+    capsys.readouterr()
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.txt").write_text("k:b1\nk:b2\nx:1\n")
+    (tmp_path / "in" / "a.txt").write_text("k:a\ny:1\n")
+    with Store.open(spark, Config(str(tmp_path / "db"))) as s:
+        assert s.import_text(str(tmp_path / "in")) == 5
+        assert contents(s) == [(b"k", b"b2"), (b"x", b"1"), (b"y", b"1")]
+        s.export_text(str(tmp_path / "out"))
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["k => b2", "x => 1", "y => 1"]

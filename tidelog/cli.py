@@ -13,8 +13,15 @@ from tidelog.plans.stats import render
 from tidelog.store import Store
 
 
+class Parser(argparse.ArgumentParser):
+    def error(self, message: str):
+        """An unknown verb or a wrong call ends with 1."""
+        self.print_usage(sys.stderr)
+        self.exit(1, f"{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tidelog", description=__doc__)
+    p = Parser(prog="tidelog", description=__doc__)
     p.add_argument("--dir", default="./tidelog_data")
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, names in {"put": ["key", "value"], "get": ["key"], "del": ["key"], "scan": ["start", "end"], "import": ["file"], "stats": [], "compact": [], "verify": []}.items():

@@ -6,6 +6,7 @@ filters that travel: build on one frame, probe another.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.model import CorruptionError
+
 # FNV-1a 64-bit offset basis and prime, and the 64-bit finaliser's multipliers.
 FNV_BASIS = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
 MIX_1 = 0xFF51AFD7ED558CCD
 MIX_2 = 0xC4CEB9FE1A85EC53
 LEAST_BITS = 64
+#: A filter up to this size is gathered on the driver and shipped whole; a larger one stays distributed.
+SHIPPED_BYTES = 8 << 20
 
 
 def sizing(capacity: int, fpp: float) -> tuple[int, int]:
@@ -77,15 +82,61 @@ def build(keys: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFram
     return keys.select(key).mapInPandas(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
+def gathered(filter_words: DataFrame, bits: int) -> np.ndarray:
+    """All words of a filter that is small enough, as one array."""
+    if bits > 8 * SHIPPED_BYTES:
+        raise ValueError(f"a filter of {bits} bits is not gathered on the driver")
+    out = np.zeros(-(-bits // 64), np.uint64)
+    for r in filter_words.collect():  # bits / 64 rows at most
+        out[r.word] = np.int64(r.mask).view(np.uint64)
+    return out
+
+
+def pack(filter_words: DataFrame, bits: int, hashes: int) -> bytes:
+    """The filter as bytes: bits and hash count in 8 bytes each, most significant first, then its words, least significant first."""
+    return struct.pack(">QQ", bits, hashes) + gathered(filter_words, bits).astype("<u8").tobytes()
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, int, int]:
+    """Words, bits and hash count of a packed filter."""
+    if len(raw) < 16:
+        raise CorruptionError("a Bloom filter has 16 bytes at least")
+    bits, hashes = struct.unpack(">QQ", raw[:16])
+    if not bits or not hashes or len(raw) != 16 + 8 * -(-bits // 64):
+        raise CorruptionError("a Bloom filter is not as long as it says")
+    return np.frombuffer(raw, "<u8", offset=16).astype(np.uint64), bits, hashes
+
+
+def may_contain(keys, words: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+    """Per key whether all of its bits are set; False means surely absent."""
+    p = positions(keys, bits, hashes)
+    return ((words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1).all(axis=1)
+
+
 def probe(keys: DataFrame, filter_words: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFrame:
-    """Distinct ``keys`` with ``may_contain``. The filter stays distributed: words are joined, not sent around."""
+    """Distinct ``keys`` with ``may_contain``."""
+    kind = keys.schema[key].dataType.simpleString()
+    asked = keys.select(key).distinct()
+    if bits <= 8 * SHIPPED_BYTES:
+        return probe_words(asked, gathered(filter_words, bits), bits, hashes, key)
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             p = positions(pdf[key], bits, hashes)
             yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), hashes), "word": (p.ravel() >> np.uint64(6)).astype(np.int64), "bit": (p.ravel() & np.uint64(63)).astype(np.int64)})
 
-    kind = keys.schema[key].dataType.simpleString()
-    asked = keys.select(key).distinct().mapInPandas(wanted, f"{key} {kind}, word long, bit long")
+    # a large filter stays where it is: words are joined, not sent around
+    asked = asked.mapInPandas(wanted, f"{key} {kind}, word long, bit long")
     hit = F.coalesce(F.shiftrightunsigned("mask", 0).bitwiseAND(F.expr("shiftleft(1L, cast(bit as int))")) != 0, F.lit(False))
     return asked.join(filter_words, "word", "left").groupBy(key).agg(F.every(hit).alias("may_contain"))
+
+
+def probe_words(keys: DataFrame, words: np.ndarray, bits: int, hashes: int, key: str = "key") -> DataFrame:
+    """Every key with ``may_contain``, against a filter that each task has whole; no exchange."""
+    held = keys.sparkSession.sparkContext.broadcast(words)
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "may_contain": may_contain(pdf[key], held.value, bits, hashes)})
+
+    return keys.select(key).mapInPandas(test, f"{key} {keys.schema[key].dataType.simpleString()}, may_contain boolean")

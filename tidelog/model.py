@@ -1,7 +1,9 @@
 """Schemas, configuration, errors and byte-key helpers."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import wraps
 
 from pyspark.sql import types as T
 
@@ -33,7 +35,7 @@ class StoreError(Exception):
 
 
 class KeyNotFound(StoreError):
-    pass
+    """A key that has to be there is not live."""
 
 
 class InvalidConfig(StoreError):
@@ -56,6 +58,21 @@ class ConflictError(StoreError):
     """Another handle committed the next manifest version first."""
 
 
+def guarded(f: Callable) -> Callable:
+    """Failures that are none of the store's own come out as CorruptionError, with their cause."""
+
+    @wraps(f)
+    def call(*args, **kw):
+        try:
+            return f(*args, **kw)
+        except StoreError:
+            raise
+        except Exception as e:
+            raise CorruptionError(f"{f.__name__} failed: {e}") from e
+
+    return call
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings of a store; the ``with_*`` style of change is ``config.but(name=value)``."""
@@ -70,6 +87,11 @@ class Config:
     compression_enabled: bool = True
     compression_level: int = 3
     bloom_fpp: float = 0.01
+    cache_size: int = 64 * MIB
+    scan_cache_entries: int = 32
+    monitoring_enabled: bool = False
+    monitoring_port: int = 8080
+    background_threads: int = 2
 
     def __post_init__(self):
         if not self.path:
@@ -80,6 +102,8 @@ class Config:
             raise InvalidConfig("compaction trigger must be at least 1 and the multiplier at least 2")
         if not 0 < self.bloom_fpp < 1:
             raise InvalidConfig("bloom_fpp must lie between 0 and 1")
+        if self.cache_size < 0 or self.scan_cache_entries < 0 or self.background_threads < 1:
+            raise InvalidConfig("caches must not be negative and there must be a background thread")
         object.__setattr__(self, "compression_level", min(22, max(1, self.compression_level)))
 
     def but(self, **changes) -> Config:

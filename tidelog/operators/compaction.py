@@ -3,21 +3,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.model import MIB
 
+
 def entry_bytes():
     """What an entry counts for when runs are split: its key and its value."""
     return (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
 
 
-def run_meta(ops: DataFrame, *by: str) -> DataFrame:
-    """Per run: least and greatest key, entries, newest sequence."""
+def run_meta(ops: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """Per run: least and greatest key, entries, newest sequence, and any ``more`` aggregates."""
     return ops.groupBy(*by).agg(
-        F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.max("seq").alias("sequence")
+        F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.max("seq").alias("sequence"), *(c.alias(n) for n, c in more.items())
     )
 
 
@@ -47,40 +50,48 @@ def levels_to_compact(manifest: DataFrame, trigger: int = 4, base: int = 10 * MI
     return levels.where(due)
 
 
-def split_greedy(entries: DataFrame, max_bytes: int, by: str | None = None) -> DataFrame:
-    """Numbers output runs in key order; a run closes when the next entry would exceed ``max_bytes``.
+def number_runs(entries: DataFrame, max_bytes: int, by: str | None = None) -> DataFrame:
+    """Numbers output runs (``output_run``) within each partition as it is sorted, and anew for each value of ``by``.
 
-    Greedy filling is sequential over the key order, so it runs per key range: ``by``
-    names a column whose values are dealt out whole (a guard level's ranges). Without
-    it the frame is dealt by key range, and each range opens runs of its own.
+    A run closes when the next entry would exceed ``max_bytes``; an entry larger than that
+    has a run of its own. Filling is sequential, but a run is one search in the running sum.
     """
-    sized = entries.withColumn("_bytes", entry_bytes())
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sized.repartition(n, by).sortWithinPartitions(by, "key") if by else sized.repartitionByRange(n, "key").sortWithinPartitions("key")
-    dealt = dealt.withColumn("_range", F.col(by).cast("string") if by else F.spark_partition_id().cast("string"))
+    held = entries.withColumn("_bytes", entry_bytes())
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, run, full = None, 0, 0
-        for pdf in batches:
-            runs = []
-            for where, size in zip(pdf["_range"], pdf["_bytes"], strict=True):
-                if where != at:
-                    at, run, full = where, 0, 0
-                elif full + size > max_bytes and full:
-                    run, full = run + 1, 0
-                full += size
-                runs.append(run)
-            yield pdf.assign(output_run=runs)
-
-    return dealt.mapInPandas(number, dealt.schema.simpleString()[7:-1] + ",output_run:int").drop("_bytes").withColumnRenamed("_range", "output_range")
-
-
-def split_by_size(entries: DataFrame, max_bytes: int) -> DataFrame:
-    """The declarative split: a running byte count per key range, cut at multiples of ``max_bytes``."""
-    dealt = entries.repartitionByRange("key").withColumn("output_range", F.spark_partition_id())
-    before = Window.partitionBy("output_range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    filled = F.coalesce(F.sum(entry_bytes()).over(before), F.lit(0))
-    return dealt.withColumn("output_run", F.floor(filled / F.lit(max_bytes)).cast("int"))
+        for b in batches:
+            sizes = b.column("_bytes").to_numpy()
+            names = b.column(by).to_pylist() if by else None
+            edges = [0, *(i for i in range(1, len(sizes)) if names[i] != names[i - 1]), len(sizes)] if by else [0, len(sizes)]
+            runs = np.empty(len(sizes), np.int32)
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if by and names[lo] != at:
+                    at, run, full = names[lo], 0, 0
+                sums = np.cumsum(sizes[lo:hi])
+                i = 0
+                while i < hi - lo:
+                    done = int(sums[i - 1]) if i else 0
+                    j = int(np.searchsorted(sums, done + max_bytes - full, "right"))
+                    if j <= i and full:  # the next entry closes the run
+                        run, full = run + 1, 0
+                        continue
+                    j = max(j, i + 1)
+                    runs[lo + i : lo + j] = run
+                    full += int(sums[j - 1]) - done
+                    i = j
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_bytes"), pa.array(runs)], names=[*(n for n in b.schema.names if n != "_bytes"), "output_run"])
+
+    return held.mapInArrow(number, T.StructType([*entries.schema.fields, T.StructField("output_run", T.IntegerType())]))
+
+
+def split_greedy(entries: DataFrame, max_bytes: int, by: str) -> DataFrame:
+    """Numbers output runs in key order within each range that ``by`` names (a guard level's ranges)."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(n, by).sortWithinPartitions(by, "key")
+    return number_runs(dealt, max_bytes, by).withColumn("output_range", F.col(by).cast("string"))
 
 
 def may_drop_tombstones(target_min, target_max, older_runs: list) -> bool:

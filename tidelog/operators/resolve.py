@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,12 +37,14 @@ def merge_runs(runs: list[DataFrame], drop_tombstones: bool = False, run_sequenc
     """Newest-wins union of runs.
 
     Later runs in the list win where ``seq`` is equal; give ``run_sequence`` to order
-    by a run number before ``seq``. Whole rows survive, whatever their columns.
+    by a run number before ``seq``. Whole rows survive, whatever their columns. Each task
+    keeps one row per key before the exchange.
     """
     tagged = reduce(lambda a, b: a.unionByName(b), (r.withColumn("_source", F.lit(i)) for i, r in enumerate(runs)))
-    order = [F.col(c).desc() for c in ([run_sequence] if run_sequence else []) + ["seq", "_source"]]
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-    merged = tagged.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_source")
+    columns = runs[0].columns
+    order = F.struct(*(F.col(c) for c in ([run_sequence] if run_sequence else []) + ["seq", "_source"]))
+    top = tagged.groupBy("key").agg(F.max_by(F.struct(*(c for c in columns if c != "key")), order).alias("_top"))
+    merged = top.select(*(F.col("key") if c == "key" else F.col("_top").getField(c).alias(c) for c in columns))
     return merged.where(~F.col("is_tombstone")) if drop_tombstones else merged
 
 

@@ -31,6 +31,24 @@ def hit_rate(hits: int, misses: int) -> float:
     return hits / (hits + misses) if hits + misses else 0.0
 
 
+class Timer:
+    """Wall clock since it was made or reset."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self._began = time.perf_counter()
+
+    @property
+    def elapsed_us(self) -> int:
+        return int((time.perf_counter() - self._began) * 1e6)
+
+    @property
+    def elapsed_ms(self) -> int:
+        return self.elapsed_us // 1000
+
+
 class Timings:
     """Wall-clock per kind of operation: ``with timings.timed("get")``."""
 
@@ -39,11 +57,11 @@ class Timings:
 
     @contextmanager
     def timed(self, kind: str):
-        began = time.perf_counter()
+        timer = Timer()
         try:
-            yield
+            yield timer
         finally:
-            self.record(kind, int((time.perf_counter() - began) * 1e6))
+            self.record(kind, timer.elapsed_us)
 
     def record(self, kind: str, micros: int) -> None:
         self.count[kind] += 1
@@ -52,6 +70,33 @@ class Timings:
     def average_us(self, kind: str) -> int:
         return self.micros[kind] // self.count[kind] if self.count[kind] else 0
 
+    @property
+    def avg_put_us(self) -> int:
+        return self.average_us("put")
+
+    @property
+    def avg_get_us(self) -> int:
+        return self.average_us("get")
+
+    @property
+    def avg_scan_us(self) -> int:
+        return self.average_us("scan")
+
+    @property
+    def avg_flush_ms(self) -> int:
+        return self.average_us("flush") // 1000
+
+    @property
+    def avg_compact_ms(self) -> int:
+        return self.average_us("compact") // 1000
+
+    def reset(self) -> None:
+        self.count.clear()
+        self.micros.clear()
+
+    def __str__(self) -> str:
+        return "\n".join(f"{k}: {x['count']} operations, {x['avg_us']} us on average" for k, x in self.summary().items())
+
     def summary(self) -> dict:
         return {k: {"count": self.count[k], "avg_us": self.average_us(k)} for k in sorted(self.count)}
 
@@ -72,6 +117,8 @@ def snapshot(store) -> dict:
         "level_runs": [len(level) for level in runs],
         "level_bytes": sizes,
         **store.counters,
+        "log_files": len(m.log),
+        "log_bytes": m.log_bytes,
         "cache_hits": store.cache_hits,
         "cache_misses": store.cache_misses,
         "cache_hit_rate": hit_rate(store.cache_hits, store.cache_misses),
@@ -83,8 +130,8 @@ def snapshot(store) -> dict:
     }
 
 
-def to_json(store) -> str:
-    return json.dumps(snapshot(store), sort_keys=True)
+def to_json(stats: dict) -> str:
+    return json.dumps(stats, sort_keys=True)
 
 
 def render(stats: dict) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions.checksum import entry_crc
+from tidelog.sources.runs import RUN_FILE_SCHEMA
 
 
 def verify(store) -> list[str]:
@@ -12,7 +13,7 @@ def verify(store) -> list[str]:
     if m.runs:
         by_path = {r.path: r for r in m.runs}
         found = (
-            spark.read.parquet(*by_path)
+            spark.read.schema(RUN_FILE_SCHEMA).parquet(*by_path)
             .groupBy(F.input_file_name().alias("path"))
             .agg(
                 F.count_if(~F.col("crc").eqNullSafe(entry_crc())).alias("bad"),

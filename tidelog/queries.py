@@ -44,20 +44,19 @@ def view_p(spark, sf) -> DataFrame:
 
 
 def view_l(spark, sf) -> DataFrame:
-    top = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("event_id").alias("s"), F.max("user_id").alias("u")).first()
-    new = F.expr(f"seq * 4 div {top.s + 1} = 3")
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    seqs, users = (e.agg((F.max(c) + 1)).scalar() for c in ("event_id", "user_id"))
+    new = F.floor(F.col("seq") * 4 / seqs) == 3
     return view_o(spark, sf).withColumns(
         {
             "level": F.when(new, 0).otherwise(1),
-            "run": F.when(new, 100 + F.col("seq") % 3).otherwise(F.expr(f"cast(key as bigint) * 4 div {top.u + 1}")).cast("long"),
+            "run": F.when(new, 100 + F.col("seq") % 3).otherwise(F.floor(F.col("key").cast("long") * 4 / users)).cast("long"),
         }
     )
 
 
 def manifest_l(spark, sf) -> DataFrame:
-    return compaction.run_meta(view_l(spark, sf).withColumn("b", F.length("key")), "level", "run").join(
-        view_l(spark, sf).groupBy("level", "run").agg(F.sum(F.length("key") + 8).cast("long").alias("bytes")), ["level", "run"]
-    )
+    return compaction.run_meta(view_l(spark, sf), "level", "run", bytes=F.sum(F.length("key") + 8).cast("long"))
 
 
 def lines(spark, sf) -> DataFrame:
@@ -108,14 +107,35 @@ def even_odd(spark, sf) -> list[DataFrame]:
     return [latest(older, payload=("seq", "is_tombstone", "value")), latest(newer, payload=("seq", "is_tombstone", "value"))]
 
 
-def bloom_membership(spark, sf) -> DataFrame:
-    """Keys of one half of the users against a filter of the other: no false negatives."""
-    keys = view_o(spark, sf).select("key").distinct()
-    member = F.expr("cast(key as bigint) % 2 = 0")
+def bloom_rates(keys: DataFrame, member) -> DataFrame:
+    """Members and others against a filter of the members: none of those may be denied, few of these let through."""
     bits, hashes = bloom.sizing(max(1000, keys.count()), 0.01)
     words = bloom.build(keys.where(member), bits, hashes)
-    hits = bloom.probe(keys.where(member), words, bits, hashes)
-    return hits.agg(F.count("*").alias("members"), F.count_if(~F.col("may_contain")).alias("false_negatives"))
+    hits = bloom.probe(keys, words, bits, hashes).withColumn("member", member)
+    let = F.count_if(~F.col("member") & F.col("may_contain"))
+    return hits.agg(
+        F.count_if("member").alias("members"), F.count_if(F.col("member") & ~F.col("may_contain")).alias("false_negatives"), F.count_if(~F.col("member")).alias("others"), (let <= F.count_if(~F.col("member")) * 0.05).alias("few_let_through")
+    )
+
+
+def bloom_membership(spark, sf) -> DataFrame:
+    return bloom_rates(view_o(spark, sf).select("key").distinct(), F.expr("cast(key as bigint) % 2 = 0"))
+
+
+def bloom_orders(spark, sf) -> DataFrame:
+    return bloom_rates(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key")), F.expr("cast(key as bigint) % 2 = 0"))
+
+
+def bloom_packed(spark, sf) -> DataFrame:
+    """Answers of a filter before and after it was packed, and the packed size."""
+    keys = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("key"))
+    members = keys.where("cast(key as bigint) % 3 = 0")
+    bits, hashes = bloom.sizing(max(1000, members.count()), 0.01)
+    words = bloom.build(members, bits, hashes)
+    raw = bloom.pack(words, bits, hashes)
+    before, after = bloom.probe(keys, words, bits, hashes), bloom.probe_words(keys, *bloom.unpack(raw))
+    same = before.withColumnRenamed("may_contain", "was").join(after, "key")
+    return same.agg(F.count("*").alias("keys"), F.count_if(F.col("was") != F.col("may_contain")).alias("changed"), (F.lit(len(raw)) - 16 - 8 * F.lit(-(-bits // 64))).cast("long").alias("surplus_bytes"))
 
 
 def bloom_sizes(spark, sf) -> DataFrame:
@@ -125,9 +145,11 @@ def bloom_sizes(spark, sf) -> DataFrame:
 
 
 def crc_verify(spark, sf) -> DataFrame:
+    """Entries that fail their checksum after every tenth key's value has been changed behind it."""
     kv = visible(view_o(spark, sf)).withColumn("value", F.col("value").cast("string").cast("binary"))
     stored = kv.withColumn("crc", entry_crc())
-    return stored.agg(F.count("*").alias("entries")).join(mismatches(stored).agg(F.count("*").alias("mismatches")))
+    damaged = stored.withColumn("value", F.when(F.col("key").cast("long") % 10 == 3, F.concat("value", F.lit(b"!"))).otherwise(F.col("value")))
+    return mismatches(damaged).select("key")
 
 
 def batch_last_wins(spark, sf) -> DataFrame:
@@ -158,12 +180,20 @@ def memtable_size(spark, sf) -> DataFrame:
 
 
 def compaction_split(spark, sf) -> DataFrame:
-    """Runs of at most 4 KiB, greedily filled in key order within each level-1 range of view L."""
+    """Runs of at most 4 KiB, greedily filled in key order within ranges of view P: keys alike in their first eight letters."""
     entries = latest(view_p(spark, sf)).where("not is_tombstone").withColumn("part", F.expr("substring(key, 1, 8)"))
     split = compaction.split_greedy(entries, 4096, by="part")
     return split.groupBy("output_range", "output_run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.sum(F.length("key") + F.length("value")).cast("long").alias("bytes"))
 
 
+SPLIT_SQL = (
+    f"WITH RECURSIVE entries AS MATERIALIZED (SELECT substring(key, 1, 8) AS part, key, length(key) + length(value) AS size, row_number() OVER (PARTITION BY substring(key, 1, 8) ORDER BY key) AS place FROM ({live_sql(P)}) AS kv),"
+    " filled AS (SELECT part, key, size, place, size AS held, 0 AS run FROM entries WHERE place = 1"
+    " UNION ALL SELECT e.part, e.key, e.size, e.place, CASE WHEN f.held + e.size > 4096 THEN e.size ELSE f.held + e.size END, CASE WHEN f.held + e.size > 4096 THEN f.run + 1 ELSE f.run END"
+    " FROM filled AS f JOIN entries AS e ON e.part = f.part AND e.place = f.place + 1)"
+    " SELECT part AS output_range, CAST(run AS integer) AS output_run, min(key) AS min_key, max(key) AS max_key, count(*) AS entries, CAST(sum(size) AS bigint) AS bytes FROM filled GROUP BY part, run"
+)
+
 QUERIES = {
     "kv_live_full": (lambda s, d: visible(view_o(s, d)), LIVE_O),
     "kv_get_hit": (lambda s, d: probe(reads.get(view_o(s, d), "00000007"), "00000007"), probe_sql("00000007")),
@@ -203,7 +233,7 @@ QUERIES = {
     "kv_merge_two_runs": (lambda s, d: merge_runs(even_odd(s, d)).select("key", "seq", "is_tombstone", "value"), LATEST.format(ops=O)),
     "kv_merge_keep_tombstones": (lambda s, d: merge_runs(even_odd(s, d)).where("is_tombstone").select("key", "seq"), f"SELECT key, seq FROM ({LATEST.format(ops=O)}) AS newest WHERE is_tombstone"),
     "kv_merge_drop_tombstones": (lambda s, d: merge_runs(even_odd(s, d), drop_tombstones=True).select("key", "seq", "value"), f"SELECT key, seq, value FROM ({LATEST.format(ops=O)}) AS newest WHERE NOT is_tombstone"),
-    "kv_compaction_split": (compaction_split, None),
+    "kv_compaction_split": (compaction_split, SPLIT_SQL),
     "kv_run_meta": (lambda s, d: compaction.run_meta(view_l(s, d), "level", "run"), f"SELECT level, run, min_key, max_key, entries, sequence FROM ({META_L}) AS m"),
     "kv_run_overlap": (run_overlap, f"SELECT a.run AS upper_run, b.run AS lower_run FROM ({META_L}) AS a JOIN ({META_L}) AS b ON b.min_key <= a.max_key AND b.max_key >= a.min_key WHERE a.level = 0 AND b.level = 1"),
     "kv_prune_runs": (lambda s, d: compaction.surviving(manifest_l(s, d), LO, HI).select("level", "run"), f"SELECT level, run FROM ({META_L}) AS m WHERE max_key >= '{LO}' AND min_key < '{HI}'"),
@@ -228,8 +258,16 @@ QUERIES = {
     ),
     "kv_render_text": (lambda s, d: visible(view_p(s, d)).select(render().alias("line")), f"SELECT key || ' => ' || value AS line FROM ({live_sql(P)}) AS kv"),
     "kv_memtable_size": (memtable_size, f"SELECT count(*) AS entries, CAST(sum(length(key) + CASE WHEN is_tombstone THEN 1 ELSE length(value) END) AS bigint) AS bytes FROM ({LATEST.format(ops=P)}) AS newest"),
-    "kv_crc_verify": (crc_verify, f"SELECT count(*) AS entries, CAST(0 AS bigint) AS mismatches FROM ({LIVE_O}) AS kv"),
-    "kv_bloom_membership": (bloom_membership, "SELECT count(DISTINCT user_id) AS members, CAST(0 AS bigint) AS false_negatives FROM events WHERE user_id % 2 = 0"),
+    "kv_crc_verify": (crc_verify, f"SELECT key FROM ({LIVE_O}) AS kv WHERE CAST(key AS bigint) % 10 = 3"),
+    "kv_bloom_membership": (
+        bloom_membership,
+        "SELECT count(*) FILTER (u % 2 = 0) AS members, CAST(0 AS bigint) AS false_negatives, count(*) FILTER (u % 2 = 1) AS others, true AS few_let_through FROM (SELECT DISTINCT user_id AS u FROM events) AS d",
+    ),
+    "kv_bloom_orders": (
+        bloom_orders,
+        "SELECT count(*) FILTER (u % 2 = 0) AS members, CAST(0 AS bigint) AS false_negatives, count(*) FILTER (u % 2 = 1) AS others, true AS few_let_through FROM (SELECT DISTINCT o_orderkey AS u FROM orders) AS d",
+    ),
+    "kv_bloom_packed": (bloom_packed, "SELECT count(DISTINCT o_orderkey) AS keys, CAST(0 AS bigint) AS changed, CAST(0 AS bigint) AS surplus_bytes FROM orders"),
     "kv_bloom_sizing": (
         bloom_sizes,
         "SELECT event_type, capacity, bits, greatest(1, CAST(floor(CAST(bits AS double) / capacity * ln(2) + 0.5) AS bigint)) AS hashes FROM"
@@ -243,8 +281,12 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {k: f for k, (f, _) in QUERIES.items()}
+    from tidelog.store_queries import STORE_QUERIES
+
+    return {k: f for k, (f, _) in (QUERIES | STORE_QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+    from tidelog.store_queries import STORE_QUERIES
+
+    return {k: sql for k, (_, sql) in (QUERIES | STORE_QUERIES).items() if sql}

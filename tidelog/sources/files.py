@@ -1,7 +1,9 @@
 """Small files on whatever file system the path names, through Spark's own Hadoop client."""
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,9 +13,9 @@ from tidelog.model import ConflictError, CorruptionError
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
         self.root = root.rstrip("/")
-        self._fs = self._path(self.root).getFileSystem(conf)
+        self._fs = self._path(self.root).getFileSystem(self._conf)
         self._fs.mkdirs(self._path(self.root))
 
     def _path(self, p: str):
@@ -32,12 +34,13 @@ class Files:
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(self.full(name))).getLength()
 
+    def age(self, name: str) -> float:
+        """Seconds since the last change, by this machine's clock."""
+        return (self._jvm.System.currentTimeMillis() - self._fs.getFileStatus(self._path(self.full(name))).getModificationTime()) / 1000
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.full(name)), True)
 
-    def rename(self, name: str, to: str) -> bool:
-        return self._fs.rename(self._path(self.full(name)), self._path(self.full(to)))
-
     def read_json(self, name: str) -> dict:
         stream = self._fs.open(self._path(self.full(name)))
         try:
@@ -48,21 +51,64 @@ class Files:
             stream.close()
 
     def publish_json(self, name: str, content: dict) -> None:
-        """Makes ``name`` appear whole, or raises ConflictError if another writer claimed it.
+        """Makes ``name`` appear whole, or raises ConflictError if it is there already.
 
-        An exclusive create of the claim decides between writers; the rename makes the
-        content visible at once.
+        The finished content lies beside it first. One step then gives it its name, and fails
+        if another writer was first: a hard link on a local disk, elsewhere a rename that
+        doesn't overwrite. A writer that dies before that step leaves a part that nobody reads.
         """
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        self.write_part(part, json.dumps(content).encode())
         try:
-            self._fs.create(self._path(self.full(f"{name}.claim")), False).close()
+            self.claim(part, name)
         except Exception as e:
-            if self.exists(f"{name}.claim"):
+            if self.exists(name):
                 raise ConflictError(f"{name} was committed by another handle") from e
             raise
-        part = f"{name}.{uuid.uuid4().hex}.part"
+        finally:
+            self.delete(part)
+
+    def write_part(self, part: str, raw: bytes) -> None:
         out = self._fs.create(self._path(self.full(part)), False)
-        out.write(bytearray(json.dumps(content).encode()))
+        out.write(bytearray(raw))
         out.hsync()
         out.close()
-        if not self.rename(part, name):
-            raise ConflictError(f"{name} could not be published")
+
+    def claim(self, part: str, name: str) -> None:
+        """Gives ``part`` the name ``name``; of several writers one succeeds."""
+        src, dst = (self._fs.makeQualified(self._path(self.full(n))) for n in (part, name))
+        if src.toUri().getScheme() == "file":
+            at = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(at(dst), at(src))
+        else:
+            self.rename_new(src, dst)
+
+    def rename_new(self, src, dst) -> None:
+        hadoop = self._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        options = self._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        hadoop.FileContext.getFileContext(src.toUri(), self._conf).rename(src, dst, options)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; it goes when the interpreter ends.
+
+    Where that is unset, as in tests, and all tasks run on this machine, a temporary folder takes its place.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter does
+        return

@@ -3,50 +3,82 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.checksum import entry_crc
-from tidelog.model import OPS_SCHEMA, Config
-from tidelog.operators.compaction import entry_bytes
+from tidelog.model import MIB, OPS_SCHEMA, Config
+from tidelog.operators.compaction import number_runs
+from tidelog.operators.resolve import latest
 from tidelog.sources.manifest import Run
 
+#: What a run's file holds; given on every read, so that no footer is read for it.
+RUN_FILE_SCHEMA = T.StructType([*OPS_SCHEMA.fields, T.StructField("crc", T.LongType())])
+#: Bytes of entries that are worth a task of their own.
+RANGE_BYTES = 2 * MIB
 
-def write_runs(entries: DataFrame, root: str, prefix: str, level: int, first_number: int, config: Config, single: bool = False) -> list[Run]:
-    """Writes resolved entries as runs of about ``max_run_size`` bytes that don't overlap.
 
-    One pass sizes the entries; the second deals them out by key range and sorts inside
-    each range. What the runs hold is read back from their own footers and statistics.
+def newest(ops: DataFrame) -> DataFrame:
+    """Resolved entries that keep their sequence number and their deletes."""
+    return latest(ops, payload=("seq", "is_tombstone", "value")).select(*OPS_SCHEMA.fieldNames())
+
+
+def write_runs(ops: DataFrame, root: str, prefix: str, level: int, sequence: int, config: Config, size: int, entries: int, keep: Column | None = None) -> list[Run]:
+    """Resolves operations (``size`` bytes, ``entries`` rows at most) and writes them as runs that don't overlap.
+
+    One exchange deals the operations by key range; they are resolved, sorted and written
+    inside their range. If the whole might exceed a run, each range closes a run before the
+    entry that would exceed ``max_run_size``. ``keep`` filters resolved entries.
     """
-    spark = entries.sparkSession
-    total = entries.agg(F.count("*").alias("n"), F.sum(entry_bytes()).alias("bytes")).first()
-    if not total.n:
-        return []
-    n = 1 if single else max(1, math.ceil(total.bytes / config.max_run_size))
-    dealt = entries.withColumn("crc", entry_crc())
-    dealt = dealt.coalesce(1) if n == 1 else dealt.repartitionByRange(n, "key")
-    path = f"{root}/runs/{prefix}"
-    (
-        dealt.sortWithinPartitions("key")
-        .write.option("compression", "zstd" if config.compression_enabled else "none")
+    spark = ops.sparkSession
+    n = max(1, math.ceil(size / config.max_run_size), min(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
+    merged = newest(ops.repartitionByRange(n, "key"))
+    merged = (merged if keep is None else merged.where(keep)).withColumn("crc", entry_crc()).sortWithinPartitions("key")
+    path, split = f"{root}/runs/{prefix}", size > config.max_run_size
+    if split:
+        merged = number_runs(merged, config.max_run_size).sortWithinPartitions("output_run", "key")
+    writer = (
+        merged.write.option("compression", "zstd" if config.compression_enabled else "none")
         .option("parquet.compression.codec.zstd.level", config.compression_level)
         .option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.fpp#key", config.bloom_fpp)
-        .option("parquet.bloom.filter.expected.ndv#key", max(1000, total.n // n))
-        .parquet(path)
+        .option("parquet.bloom.filter.expected.ndv#key", max(1000, entries // n))
     )
+    (writer.partitionBy("output_run") if split else writer).parquet(path)
+    return described(spark, [path], {path: level}, sequence)
+
+
+def described(spark: SparkSession, folders: list[str], level: dict[str, int], sequence: int | None) -> list[Run]:
+    """The runs in folders, in key order: what they hold is read back. Without a sequence a run's newest operation stands for it."""
     meta = (
-        spark.read.parquet(path)
+        spark.read.schema(RUN_FILE_SCHEMA).option("recursiveFileLookup", "true").parquet(*folders)
         .groupBy(F.input_file_name().alias("path"), F.col("_metadata.file_size").alias("bytes"))
         .agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("entries"), F.max("seq").alias("sequence"))
         .orderBy("min_key")
         .collect()
     )
-    return [Run(r.path, level, bytes(r.min_key), bytes(r.max_key), r.entries, r.bytes, first_number + i) for i, r in enumerate(meta)]
+    of = {f.rstrip("/").rsplit("/", 1)[1]: n for f, n in level.items()}
+    return [Run(r.path, of[folder_of(r.path)], bytes(r.min_key), bytes(r.max_key), r.entries, r.bytes, sequence or r.sequence) for r in meta]
 
 
-def read_runs(spark: SparkSession, runs: list[Run]) -> DataFrame:
-    """The operations of ``runs``; an unreadable file raises, it is never skipped."""
+def folder_of(path: str) -> str:
+    """The folder below ``runs/`` or ``log/`` that a file belongs to."""
+    parts = path.rstrip("/").split("/")
+    at = max(i for i, x in enumerate(parts) if x in ("runs", "log"))
+    return parts[at + 1]
+
+
+def read_runs(spark: SparkSession, runs: list[Run], checked: bool = False, condition: Column | None = None) -> DataFrame:
+    """The operations of ``runs``; an unreadable file raises, it is never skipped.
+
+    With ``checked`` so does an entry that fails its checksum, of those that meet ``condition`` (on the key).
+    """
     if not runs:
         return spark.createDataFrame([], OPS_SCHEMA)
-    return spark.read.parquet(*(r.path for r in runs)).select(*OPS_SCHEMA.fieldNames())
+    df = spark.read.schema(RUN_FILE_SCHEMA).parquet(*(r.path for r in runs))
+    df = df if condition is None else df.where(condition)
+    if checked:
+        wrong = F.raise_error(F.concat(F.lit("checksum mismatch at key "), F.hex("key"))).cast("boolean")
+        df = df.withColumn("is_tombstone", F.when(F.col("crc").eqNullSafe(entry_crc()), F.col("is_tombstone")).otherwise(wrong))
+    return df.select(*OPS_SCHEMA.fieldNames())

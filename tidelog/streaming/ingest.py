@@ -5,24 +5,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.operators.resolve import latest
 from tidelog.store import Store
 
 
-def append_stream(changes: DataFrame, store: Store, checkpoint: str, flush_every: int = 0, **trigger) -> StreamingQuery:
+def append_stream(changes: DataFrame, store: Store, checkpoint: str, flush_every: int = 0, name: str | None = None, **trigger) -> StreamingQuery:
     """Commits each micro-batch of operations as one log file; every ``flush_every`` batches it flushes.
 
-    ``seq`` must order operations within a batch; batches follow each other. A batch that
-    was committed before a restart is recognised by its number and not applied again.
+    ``seq`` must order operations within a batch; batches follow each other. The commit that
+    applies a batch also notes its number for the stream, which is known by ``name``, or else
+    by its checkpoint, so a batch is applied once, whatever fails in between, and streams of
+    one store don't meet.
     """
-    done = store.files
+    stream = name or checkpoint.rstrip("/")
 
     def apply(batch: DataFrame, number: int) -> None:
-        mark = f"stream/{number:016d}.json"
-        if done.exists(mark):
-            return
-        store.write_frame(batch)
-        done.publish_json(mark, {"batch": number})
+        store.write_frame(batch, (stream, number))
         if flush_every and (number + 1) % flush_every == 0:
             store.flush()
 
@@ -37,7 +34,3 @@ def latest_per_key(changes: DataFrame, event_time: str, late: str = "1 hour") ->
         .agg(F.max_by(F.struct("seq", "is_tombstone", "value"), F.col("seq")).alias("_newest"))
         .select("key", F.col("window.start").alias("hour"), "_newest.*")
     )
-
-
-def resolve_batch(batch: DataFrame) -> DataFrame:
-    return latest(batch)
