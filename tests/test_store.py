@@ -435,3 +435,27 @@ def test_lines_of_several_files(spark, tmp_path):
         assert contents(s) == [(b"k", b"b2"), (b"x", b"1"), (b"y", b"1")]
         s.export_text(str(tmp_path / "out"))
         assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["k => b2", "x => 1", "y => 1"]
+
+
+def test_commits_write_what_changed(spark, tmp_path, monkeypatch):
+    from tidelog.sources import manifest
+
+    monkeypatch.setattr(manifest, "FULL_EVERY", 4)
+    c = Config(str(tmp_path / "db"), l0_compaction_trigger=100)
+    with Store.open(spark, c) as s:
+        for i in range(11):
+            s.write_batch([(f"k{i}", str(i))])
+            s.sync()
+            if i % 3 == 2:
+                s.flush()
+        seen = {v: Store.open(spark, c, version=v).manifest for v in s.manifests.versions()}
+        assert seen[s.manifest.version] == s.manifest and len(seen) == 14
+        assert all(len(seen[v].log) == v - v // 4 - 3 * (v // 4) for v in seen)
+        full = [v for v in seen if s.manifests.files.read_json(manifest.name(v))["full"]]
+        assert full == [1, 5, 9, 13]
+        s.collect_garbage(keep=3, grace=0)
+        assert s.manifests.versions() == [12, 13, 14] and all(s.manifests.load(v) == seen[v] for v in (12, 13, 14))
+        assert len(contents(s)) == 11
+        s.collect_garbage(keep=1, grace=0)
+        s.put("x", "1")
+    assert len(contents(Store.open(spark, c))) == 12

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.model import prefix_end
 from tidelog.operators.resolve import visible
+from tidelog.sources.files import scratch
 
 
 def key_range(df: DataFrame, start=None, end=None, key: str = "key") -> DataFrame:
@@ -26,12 +28,17 @@ def get(ops: DataFrame, key) -> DataFrame:
     return visible(ops.where(F.col("key") == F.lit(key)))
 
 
-def multi_get(ops: DataFrame, keys: DataFrame) -> DataFrame:
-    """Live values of all ``keys`` (a one-column frame) by one semi-join below the resolution.
+def of_keys(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """Operations on any of ``keys`` (a one-column frame).
 
     No broadcast is forced: Spark's size estimate chooses between that and a shuffle.
     """
-    return visible(ops.join(keys.select(F.col(keys.columns[0]).alias("key")), "key", "left_semi"))
+    return ops.join(keys.select(F.col(keys.columns[0]).alias("key")), "key", "left_semi")
+
+
+def multi_get(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """Live values of all ``keys`` by one semi-join below the resolution."""
+    return visible(of_keys(ops, keys))
 
 
 def scan(ops: DataFrame, start=None, end=None, reverse: bool = False, limit: int | None = None) -> DataFrame:
@@ -73,20 +80,21 @@ def predecessor(ops: DataFrame, key) -> DataFrame:
 def neighbours(kv: DataFrame, buckets: int | None = None) -> DataFrame:
     """Every live key with the key before and after it.
 
-    The order is global, so a plain window would run in one task. Keys are dealt into
-    ranges by fixed bounds instead (taken from a hash-ordered sample of a fixed size);
-    each range then needs only the edge keys of the others, one row per range.
+    The order is global, so a plain window would run in one task. Keys are dealt by range
+    and written once with their range's number; each range then needs only the edge keys
+    of the others, one row per range.
     """
-    n = buckets or int(kv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = kv.select("key").orderBy(F.xxhash64("key"), "key").limit(20 * n).collect()
-    bounds = sorted({r.key if isinstance(r.key, str) else bytes(r.key) for r in sample})[::20][1:]
-    which = sum((F.when(F.col("key") >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    dealt = kv.select("key", which.alias("_range"))
+    spark = kv.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = scratch(spark, "neighbours")
+    kv.select("key").repartitionByRange(n, "key").withColumn("_range", F.spark_partition_id()).write.parquet(at)
+    dealt = spark.read.schema(T.StructType([kv.schema["key"], T.StructField("_range", T.IntegerType())])).parquet(at)
     edges = dealt.groupBy("_range").agg(F.min("key").alias("_lo"), F.max("key").alias("_hi"))
     order = Window.orderBy("_range")
     edges = edges.select("_range", F.lag("_hi").over(order).alias("_before"), F.lead("_lo").over(order).alias("_after"))
     inside = Window.partitionBy("_range").orderBy("key")
     near = dealt.select("key", "_range", F.lag("key").over(inside).alias("_prev"), F.lead("key").over(inside).alias("_next"))
+    # a row per range
     return near.join(F.broadcast(edges), "_range", "left").select(
         "key", F.coalesce("_prev", "_before").alias("prev_key"), F.coalesce("_next", "_after").alias("next_key")
     )

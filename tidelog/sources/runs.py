@@ -69,16 +69,14 @@ def folder_of(path: str) -> str:
     return parts[at + 1]
 
 
-def read_runs(spark: SparkSession, runs: list[Run], checked: bool = False, condition: Column | None = None) -> DataFrame:
-    """The operations of ``runs``; an unreadable file raises, it is never skipped.
+def read_runs(spark: SparkSession, runs: list[Run], crc: bool = False) -> DataFrame:
+    """The operations of ``runs``, with ``crc`` their checksums too; an unreadable file raises, it is never skipped."""
+    schema = RUN_FILE_SCHEMA if crc else OPS_SCHEMA
+    return spark.read.schema(schema).parquet(*(r.path for r in runs)) if runs else spark.createDataFrame([], schema)
 
-    With ``checked`` so does an entry that fails its checksum, of those that meet ``condition`` (on the key).
-    """
-    if not runs:
-        return spark.createDataFrame([], OPS_SCHEMA)
-    df = spark.read.schema(RUN_FILE_SCHEMA).parquet(*(r.path for r in runs))
-    df = df if condition is None else df.where(condition)
-    if checked:
-        wrong = F.raise_error(F.concat(F.lit("checksum mismatch at key "), F.hex("key"))).cast("boolean")
-        df = df.withColumn("is_tombstone", F.when(F.col("crc").eqNullSafe(entry_crc()), F.col("is_tombstone")).otherwise(wrong))
-    return df.select(*OPS_SCHEMA.fieldNames())
+
+def sound(ops: DataFrame) -> DataFrame:
+    """Operations without their checksums; one that fails its checksum raises."""
+    wrong = F.raise_error(F.concat(F.lit("checksum mismatch at key "), F.hex("key"))).cast("boolean")
+    held = F.when(F.col("crc").isNull() | (F.col("crc") == entry_crc()), F.col("is_tombstone")).otherwise(wrong)
+    return ops.withColumn("is_tombstone", held).drop("crc")
