@@ -393,8 +393,8 @@ def planned(spark, sf) -> DataFrame:
     found = []
     for start, end in ((None, None), ("a", "b"), ("00000004", "00000004\0")):
         p = store.analyze_scan(start, end)
-        found.append((str(start), list(p.levels), p.estimated_keys if start is None else -1, p.runs > 0, p.uses_buffer, p.uses_bloom, p.cost))
-    return rows(spark, "start string, levels array<int>, keys long, reads_runs boolean, buffer boolean, bloom boolean, cost string", found)
+        found.append((str(start), ",".join(map(str, p.levels)), p.estimated_keys if start is None else -1, p.runs > 0, p.uses_buffer, p.uses_bloom, p.cost))
+    return rows(spark, "start string, levels string, keys long, reads_runs boolean, buffer boolean, bloom boolean, cost string", found)
 
 
 def plan_costs(spark, sf) -> DataFrame:
@@ -619,8 +619,8 @@ STORE_QUERIES = {
     "kv_store_counted": (counted, f"SELECT ({ALL}) + 2 AS writes, 4 AS flushes, 1 AS compactions, 1 AS levels, 1 AS log_files"),
     "kv_store_planned": (
         planned,
-        f"SELECT 'None' AS start, [0] AS levels, (SELECT count(DISTINCT key || ' ' || quarter) FROM ({QUARTER}) AS q) AS keys, true AS reads_runs, false AS buffer, false AS bloom, 'Low' AS cost"
-        " UNION ALL SELECT 'a', CAST([] AS integer[]), -1, false, false, false, 'Low' UNION ALL SELECT '00000004', [0], -1, true, false, true, 'Low'",
+        f"SELECT 'None' AS start, '0' AS levels, (SELECT count(DISTINCT key || ' ' || quarter) FROM ({QUARTER}) AS q) AS keys, true AS reads_runs, false AS buffer, false AS bloom, 'Low' AS cost"
+        " UNION ALL SELECT 'a', '', -1, false, false, false, 'Low' UNION ALL SELECT '00000004', '0', -1, true, false, true, 'Low'",
     ),
     "kv_store_plan_costs": (
         plan_costs,
