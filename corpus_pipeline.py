@@ -5,42 +5,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import nearest_copies, packing, personal_data, suffixes, toxicity
-from tidelog.llm.common import Stages, table
-
-ROW = "_row"
+from tidelog.llm.common import Stages, few, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic, each row by its own text, with or without an id."""
-    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+    """Documents not predicted toxic, each row by its own text, with or without an id.
+
+    Null and empty texts stay, as does every column; an empty table gives an empty table.
+    """
+    return few(toxicity.without_toxic(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: of those with the smallest id, any one; null ids come last.
 
     Rows are judged by their texts alone: rows of one id stay where their texts differ, and
-    copies go whatever their ids. Texts without words are copies of nothing and stay.
+    copies go whatever their ids. Null texts and texts without words are copies of nothing
+    and stay. Columns are kept, whatever their names; an empty table gives an empty table.
     """
-    # stored, since row numbers would differ when computed again
-    rows = Stages(spark, "rows").keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    found = nearest_copies.near_copies(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    judged = rows.select(ROW, F.col("doc_id").alias("id")).join(found.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
-    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", ROW)).alias("first"))
-    return rows.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    # stored, since row numbers would differ when computed again; the struct keeps columns of any name apart
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = Stages(spark, "rows").keep(few(packed, docs))
+    found = nearest_copies.near_copies(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    judged = rows.select("number", F.col("row.doc_id").alias("id")).join(found.select(F.col("doc_id").alias("number"), "component_id"), "number")
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "number")).alias("first"))
+    kept = rows.join(first.select(F.col("first.number").alias("number")), "number", "left_semi")
+    return few(kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)), rows)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated stretches. A character cut in two is dropped; n_chars follows the text."""
-    return suffixes.cut(docs)
+    """Texts without passages of 50 words or more, or strings of 400 bytes or more, that also stand anywhere else.
+
+    All occurrences go, those in repeated rows and in rows without an id too. A character
+    cut in two is dropped, a null text stays null, and n_chars follows the text. Other
+    columns are kept, whatever their names; an empty table gives an empty table.
+    """
+    return few(suffixes.cut(docs), docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data masked; n_chars follows the text."""
+    """Texts with personal data masked; n_chars follows the text.
+
+    Every row stays, also without an id or repeated; a null text stays null. Other columns
+    are kept, whatever their names; an empty table gives an empty table.
+    """
     out = personal_data.masked(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row with their places in sequences.
+
+    A null or empty text is one piece; rows that repeat or have no id are packed each for
+    themselves; columns other than doc_id and text are left out; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 

@@ -125,12 +125,14 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * len(sets[i] | sets[j]) or rows[i][0] is not None and rows[i][0] == rows[j][0]:
+            one = rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]) or one:
                 up[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), 1 << 62), 1 << 62 if d is None else d)
     c = [None if least[find(i)] == 1 << 62 else least[find(i)] for i in range(len(rows))]
+    c = [x if sets[i] else rows[i][0] for i, x in enumerate(c)]
     return sorted(((d, len(s), c[i], c[i] == d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
 
 
@@ -179,6 +181,32 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_null_ids_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    big = (1 << 62) - 1
+    rows = [(5, a), (7, b), (None, a), (None, b), (None, c), (None, c), (None, ""), (None, None), (big, "x y z"), (big + 9, "x y z"), (-3, b + " more"), (7, ""), (7, a + " tail")]
+    got = near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_components(rows)
+    assert sum(r == (None, 36, None, True) for r in got) == 2 and (big + 9, 1, big, False) in got
+    # the same without the last row, which joins 5 and 7
+    got = near(spark.createDataFrame(rows[:-1], "doc_id long, text string"))
+    assert (7, 36, -3, False) in got and (5, 36, 5, True) in got and (None, 36, 5, False) in got
+
+
+def test_many_pivots(spark):
+    """Two halves that only a chain of near copies joins, numbered against their order."""
+    rng, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(100)]
+    for step in range(40):
+        base = list(base)
+        base[rng.randrange(100)] = f"n{step}"
+        for k in range(6):
+            w = list(base)
+            w[rng.randrange(100)] = f"m{step}-{k}"
+            rows.append((10_000 - 10 * step - k, " ".join(w)))
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     with np.errstate(over="ignore"):
@@ -229,7 +257,7 @@ def test_repeats_of_the_table(docs, empty):
     assert repeats(empty) == []
 
 
-@pytest.mark.parametrize("group", [2000, 3])
+@pytest.mark.parametrize("group", [250, 3])
 def test_planted_repeats(spark, odd, monkeypatch, group):
     monkeypatch.setattr(suffixes, "GROUP", group)
     rows = planted(spark, odd)
@@ -237,6 +265,86 @@ def test_planted_repeats(spark, odd, monkeypatch, group):
     assert repeats(df) == brute_repeats(rows)
 
 
+def brute_passages(rows, n=50):
+    """Words in stretches of n words that stand anywhere else."""
+    seen = Counter()
+    split = [(t or "").encode().split() for _, t in rows]
+    for w in split:
+        seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for (d, _), w in zip(rows, split, strict=True):
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit[i : i + n] = True
+        out.append((d, int(hit.sum())))
+    return sorted(out, key=repr)
+
+
+def passages(df):
+    return sorted(((r.doc_id, r.n_passage_words) for r in suffixes.without_repeats(df).collect()), key=repr)
+
+
+def test_passages_of_the_table(docs):
+    assert passages(docs) == brute_passages(texts(docs))
+
+
+@pytest.mark.parametrize("group", [250, 2])
+def test_planted_passages(spark, odd, monkeypatch, group):
+    """Passages of 50 to 70 words and 250 to 390 bytes, all under the byte rule; clean documents stay as they are."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng, rows = random.Random(12), []
+    prose = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**4)}" for _ in range(n)]
+    planted = [[f"{x[:4]}" for x in prose(rng.randrange(50, 71))] for _ in range(6)]
+    assert all(250 <= len(" ".join(x)) + 20 and len(" ".join(x)) <= 390 for x in planted)
+    for i in range(40):
+        w = prose(rng.randrange(5, 80))
+        if i < 24:
+            at = rng.randrange(len(w))
+            w[at:at] = planted[i % 6]
+        rows.append((1000 + i, rng.choice((" ", "  ", "\n")).join(w) if i % 3 else " ".join(w)))
+    rows += [(1100 + i, " ".join(planted[0][:49])) for i in range(3)] + texts(odd)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages(df)
+    assert got == brute_passages(rows)
+    assert all((n >= 50) == (d < 1024) for d, n in got if d is not None and d >= 1000)
+    cut = {r.doc_id: r.text for r in suffixes.cut(df.where("doc_id >= 1000")).collect()}
+    for i, t in rows[:43]:
+        assert (cut[i] == t) == (i >= 1024)
+        assert i >= 1024 or " ".join(planted[i % 1000 % 6]) not in " ".join(cut[i].split())
+
+
+def test_halves_of_a_crowd_agree_with_the_whole(spark, monkeypatch):
+    """One passage amid many contexts, so that its anchors have more neighbourhoods than a group may hold, at every split."""
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = noise(430)
+    rows = [(i, noise(rng.randrange(300)) + core[rng.randrange(3) * 10 : 430 - rng.randrange(3) * 10] + noise(rng.randrange(300))) for i in range(60)]
+    monkeypatch.setattr(suffixes, "GROUP", 4)
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
+
+
+def test_long_texts_go_through_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(5)) for _ in range(n))
+    shared = prose(150)
+    rows = [(1, prose(900) + shared + prose(300)), (2, shared + prose(700)), (3, prose(10) + "x" * 3000 + prose(10)), (4, "y" + "x" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats(df) == brute_repeats(rows) and passages(df) == brute_passages(rows)
+
+
+def test_cut_keeps_columns_of_any_name(spark):
+    names = ["row", "raw", "digest", "places", "_id", "_places", "unit", "start", "end", "a.b", "key"]
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, f"one {long}", *range(11)), (2, f"{long} two", *range(11)), (None, None, *range(11)), (None, "short", *[None] * 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = suffixes.cut(df)
+    assert got.columns == df.columns and got.schema == df.schema
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "one ", *range(11)), (2, " two", *range(11)), (None, None, *range(11)), (None, "short", *[None] * 11)], key=repr)
+    assert suffixes.cut(df.where("false")).count() == 0
+
+
 def test_maximal_repeats_have_all_occurrences():
     a = b"Q" * 5 + b"0123456789" + b"R" * 5
     found = suffixes.maximal_repeats([(a, 7), (b"ZZ" + a[2:], 7), (a[:-3] + b"ZZZ", 7)], 10)
@@ -247,13 +355,37 @@ def test_maximal_repeats_have_all_occurrences():
 # -- classifiers ----------------------------------------------------------------
 
 
-def test_classifiers_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
-    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    for f, label, least in ((quality.score_quality, "quality", 0.95), (toxicity.score_toxicity, "toxic", 0.85)):
-        rows = f(d, lab).join(lab, "doc_id").where("held_out").collect()
-        assert len(rows) > 40 and sum(r[label] == r.predicted for r in rows) / len(rows) >= least
-        assert all(0 <= r.score <= 1 for r in rows)
+@pytest.mark.parametrize("f, label, sf", [(quality.score_quality, "quality", "sf0.01"), (toxicity.score_toxicity, "toxic", "sf0.1")])
+def test_classifiers_on_held_out_rows(spark, f, label, sf):
+    """Precision and recall of label 1 and of label 0, on rows that no training saw."""
+    d, lab = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = f(d, lab).join(lab.select("doc_id", F.col(label).alias("y")), "doc_id").where("held_out").collect()
+    for y in (0, 1):
+        named, meant = [r for r in rows if r.predicted == y], [r for r in rows if r.y == y]
+        right = sum(r.y == y for r in named)
+        assert len(meant) > 5 and right >= 0.85 * len(meant) and right >= 0.85 * len(named)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_quality_is_the_discriminant(spark, docs):
+    """The same scores from class means and covariances that numpy takes of all labelled rows at once."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = texts(docs)
+    x = np.array([quality.statistics(t or "") for _, t in rows])
+    at = [np.array([i for i, (d, _) in enumerate(rows) if y.get(d) == c]) for c in (0, 1)]
+    both = x[np.concatenate(at)]
+    z = (x - both.mean(axis=0)) / both.std(axis=0)
+    own = [np.cov(z[a].T, bias=True) for a in at]
+    pooled = sum(c * len(a) for c, a in zip(own, at, strict=True)) / len(both)
+    log = []
+    for c, a in zip(own, at, strict=True):
+        s = 0.68 * c + 0.3 * pooled + 0.02 * np.trace(pooled) / len(pooled) * np.eye(len(pooled)) + 1e-9 * np.eye(len(pooled))
+        off = z - z[a].mean(axis=0)
+        log.append(-np.einsum("ij,ij->i", off, np.linalg.solve(s, off.T).T) / 2 - np.linalg.slogdet(s)[1] / 2 + np.log(len(a)))
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700)))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    assert np.allclose([got[d] for d, _ in rows], want, atol=1e-6)
 
 
 def test_classifiers_on_odd_rows(spark, odd, empty):
@@ -293,6 +425,73 @@ def test_disguises_that_gates_let_through(text, word):
     assert word in read(text)
 
 
+@pytest.mark.parametrize("sign", [*toxicity.APART, *toxicity.LOOKS])
+def test_runs_of_signs_take_linear_time(sign):
+    import time
+
+    channel = toxicity.Channel(toxicity.trigrams(INSULTS), Counter(INSULTS.split()))
+    began = time.perf_counter()
+    for token in ("a" + sign * 10_000 + "b", sign * 10_000, sign * 10_000 + "idiot", "idiot" + sign * 10_000, ("a" + sign) * 3_000):
+        toxicity.forms_of(token, channel)
+    assert time.perf_counter() - began < 3
+    began = time.perf_counter()
+    toxicity.forms_of("a" + sign * 10_000 + "b", channel)
+    assert time.perf_counter() - began < 1
+
+
+def test_decoration():
+    for token, core in {"idiot!!": "idiot", "***idiot***": "idiot", '("idiot")': "idiot", "$idiot": "$idiot", "idiot$": "idiot$", "--": "", "-": "-", "_a_": "_a_", "": "", "a.": "a", "==>a": ">a"}.items():
+        assert toxicity.undecorated(token) == core
+
+
+def test_lattice_search_is_exact():
+    """Of all paths of small lattices the search finds the cheapest."""
+    from itertools import product
+
+    channel, rng = toxicity.Channel(toxicity.trigrams(INSULTS)), random.Random(15)
+    for _ in range(150):
+        s = "".join(rng.choice("idiotms10!$@.- ooss") for _ in range(rng.randrange(1, 8)))
+        for eager in (False, True):
+            least = float("inf")
+            for path in product(*channel.options(s, eager)):
+                a = b = 0
+                cost = 0.0
+                for emit, change in path:
+                    k = toxicity.letter(emit) if emit else -1
+                    if k == 0 and b == 0:
+                        cost = float("inf")
+                    cost += change - (toxicity.PER_LETTER if k > 0 else 0)
+                    if k >= 0:
+                        cost += channel.cost[(a * toxicity.ORDER + b) * toxicity.ORDER + k]
+                        a, b = b, k
+                least = min(least, cost + channel.cost[(a * toxicity.ORDER + b) * toxicity.ORDER])
+            assert channel.likeliest(s, eager)[0] == pytest.approx(least)
+
+
+def test_skipped_lattices_could_not_weigh():
+    """What is not searched when texts are scored has no path with a beginning that weighs."""
+    starts, rng = {"idi", "mor", "los", "stu"}, random.Random(16)
+    channel, worth = toxicity.Channel(toxicity.trigrams(INSULTS), Counter(INSULTS.split())), toxicity.possible({"idi", "mor", "los", "stu"})
+    found = 0
+    for _ in range(3000):
+        w = list(rng.choice(["idiot", "moron", "loser", "stupid", "then", "nndstnd"]))
+        for _ in range(rng.randrange(6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice("".join(toxicity.LOOKS) + toxicity.APART.strip() + "iioorrsséß²"))
+        every = [x for x in toxicity.forms_of("".join(w), channel) if x[:3] in starts]
+        assert every == [x for x in toxicity.forms_of("".join(w), channel, worth) if x[:3] in starts]
+        found += bool(every)
+    assert found > 500
+
+
+def test_counts_and_decoder_see_the_same_letters():
+    for text, codes in {"Üa—é": [27, 1, 0, 27], "x🙂1y": [24, 0, 0, 25], "": []}.items():
+        want = np.zeros(toxicity.ORDER**3, int)
+        c = [0, 0, *codes, 0]
+        for i in range(2, len(c)):
+            want[(c[i - 2] * 28 + c[i - 1]) * 28 + c[i]] += 1
+        assert (toxicity.trigrams(text) == want).all() or not text
+
+
 def test_training_rows(spark, monkeypatch, tmp_path):
     """Repeated labels and labels without a document take no place; only near copies count once."""
     monkeypatch.setattr(toxicity, "TRAINING_ROWS", 40)
@@ -361,6 +560,25 @@ def test_masking_of_overlaps(spark):
     assert [r.text for r in personal_data.masked(df).orderBy("doc_id").collect()] == list(texts.values())
 
 
+def test_columns_of_any_name(spark):
+    names = ["base", "spans", "_found", "_t", "_p0", "_as_is", "_by", "row", "a.b"]
+    df = spark.createDataFrame([(1, "a@b.com", *range(9)), (None, None, *[None] * 9), (1, "a@b.com", *range(9))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = personal_data.masked(df)
+    assert got.columns == df.columns and [t for _, t in got.dtypes] == [t for _, t in df.dtypes]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "<EMAIL>", *range(9))] * 2 + [(None, None, *[None] * 9)], key=repr)
+    found = personal_data.find(df)
+    assert found.columns == ["doc_id", "text", *names[2:], "base", "spans"] and found.where("doc_id = 1").first().base[0].kind == "email"
+    assert personal_data.masked(df.where("false")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than are walked at once, in every place of a lot."""
+    text = "é " + " ".join(f"u{i}@x{i}.com 10.0.{i % 256}.1 +4930{1000000 + i}" for i in range(900))
+    r = personal_data.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    listed = ",".join(":".join(map(str, x)) for x in brute_base(text))
+    assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.n_email == 900
+
+
 # -- WARC -----------------------------------------------------------------------
 
 
@@ -389,3 +607,115 @@ def test_warc_query_returns_whole_records(spark):
     rows = got.collect()
     assert len(rows) == 4 and all(r.date and hashlib.sha256(bytes(r.block)).hexdigest() == r.block_sha256 for r in rows)
     assert sorted(bytes(r.block) for r in rows if r.record_type == "conversion") == [b"", b"T\na\nb"]
+
+
+class Reader(__import__("html.parser").parser.HTMLParser):
+    """What a page shows, by the standard library's parser."""
+
+    BREAKS = {"p", "div", "br", "li", "ul", "title", "head", "body", "html"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.gone, self.links, self.heads, self.lang = [], 0, [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append("\n" if tag in self.BREAKS else "")
+        self.gone += tag in ("script", "style")
+        if not self.gone and tag == "a" and "href" in dict(attrs):
+            self.links.append(dict(attrs)["href"])
+        if tag == "html":
+            self.lang = dict(attrs).get("lang")
+        self.inside = tag
+
+    def handle_endtag(self, tag):
+        self.out.append("\n" if tag in self.BREAKS else "")
+        self.gone -= tag in ("script", "style")
+        self.inside = None
+
+    def handle_data(self, data):
+        if not self.gone:
+            self.out.append(data)
+            if getattr(self, "inside", None) == "title":
+                self.heads.append(data)
+
+    def text(self):
+        lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in "".join(self.out).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+
+def test_derivatives_agree_with_a_parser(spark):
+    import json
+
+    rng = random.Random(17)
+    words = ["one", "&amp;", "caf&eacute;", "two  three", "é", "<b>bold</b>", "<a href='/x?a=1&amp;b=2'>link</a>", '<a class=c href="y">z</a>', "<br>", "<p>para</p>", "<div>d<ul><li>i</li></ul></div>", "<script>var x = 1 < 2;</script>", "<style>p{}</style>", "<!-- no -->"]
+    pages = [(i, f"http://x/{i}", f"<html lang=de><head><title>T&amp;{i}</title></head><body>" + " ".join(rng.choice(words) for _ in range(rng.randrange(30))) + "</body></html>") for i in range(60)]
+    got = {}
+    for r in warc.derivatives(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect():
+        got.setdefault(r.key, {})[r.record_type] = bytes(r.block).decode()
+    for key, _, page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        about = json.loads(got[key]["metadata"])
+        assert got[key]["conversion"] == reader.text()
+        assert about["links"] == reader.links and about["title"] == "".join(reader.heads) and about["lang"] == reader.lang
+
+
+def test_warc_files_that_break_off(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>page {i}") for i in range(3)], "page_id long, url string, html string")
+    records = [r.asDict() for r in warc.responses(pages).orderBy("key").collect()]
+    for zipped in (True, False):
+        raw = b"".join(warc.serialise(r, zipped) for r in records)
+        whole = [r["record_id"] for r in warc.parse(raw)]
+        assert len(whole) == 3
+        for cut in range(0, len(raw), 37):
+            found = [r["record_id"] for r in warc.parse(raw[:cut])]
+            assert found == whole[: len(found)]
+        assert len(list(warc.parse(raw[: len(raw) - 20]))) >= 2
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"\x1f\x8bnot gzip")) == [] and list(warc.parse(b"WARC/1.1\r\nContent-Length: x")) == []
+    (tmp_path / "f.warc").write_bytes(raw[:-30])
+    assert warc.read_warc(spark, str(tmp_path / "f.warc")).count() == 2
+
+
+def test_bodies_are_read_as_their_headers_say():
+    import gzip
+    import zlib as z
+
+    page = "<title>Käse</title><p>süß"
+    latin = page.encode("latin-1")
+    chunks = lambda b: b"%x;x=1\r\n" % 5 + b[:5] + b"\r\n%X\r\n" % (len(b) - 5) + b[5:] + b"\r\n0\r\n\r\n"
+    for head, body in (
+        ("Content-Type: text/html; charset=ISO-8859-1", latin), ("Content-Type: text/html; charset=\"latin-1\"\r\nTransfer-Encoding: chunked", chunks(latin)), ("Content-Encoding: gzip", gzip.compress(page.encode())),
+        ("Content-Encoding: deflate", z.compress(page.encode())), ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks(gzip.compress(page.encode()))), ("Content-Type: text/html; charset=no-such", page.encode()), ("Content-Encoding: gzip", page.encode()), ("Transfer-Encoding: chunked", page.encode()),
+    ):
+        record = {"key": 1, "record_id": "<r>", "target_uri": "u", "date": "d", "payload_digest": "p", "block": b"HTTP/1.1 200 OK\r\n" + head.encode() + b"\r\n\r\n" + body}
+        assert bytes(warc.derive(record)[1][-1]).decode() == "Käse\nsüß", head
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("<title>", "<title ", "<a ", "<a href", "<html ", "<", "<p", "<!--", "<script>", "</script   "):
+        page = (part * 200_000)[:400_000].encode()
+        record = {"key": 1, "record_id": "<r>", "target_uri": "u", "date": "d", "payload_digest": "p", "block": b"HTTP/1.1 200 OK\r\n\r\n" + page}
+        assert len(warc.derive(record)) == 2
+    assert time.perf_counter() - began < 20
+
+
+def test_bytes_without_a_vocabulary_entry():
+    coder = bpe.Bpe("byte_bpe_50k.json")
+    ids = coder.merge(b"hello")
+    coder.bytes_ids[ord("q")] = None
+    assert coder.merge(b"q") == [] and coder.merge(b"heqllo") == ids
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidelog.llm.common import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d: None, set=lambda k, v: None)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077")))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file:/")

@@ -2,26 +2,40 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python are cut to about this much text, so long documents don't add up.
 BATCH_BYTES = 8 << 20
+#: Rows that Spark gathers for Python at once, unless the session says otherwise; its own 10,000 long documents are too many.
+BATCH_ROWS = 1000
+#: Small tables are written in parts of at least about so many narrow rows, or so many bytes of documents.
+PART_ROWS, PART_BYTES = 100_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all tasks run on this machine, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -44,9 +58,12 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bound_batches(spark)
         atexit.register(_delete_at_exit, spark, self.root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows`` is a bound of the rows to come, if one is known."""
+        df = df if rows is None else df.coalesce(max(1, math.ceil(rows / PART_ROWS)))
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
@@ -59,7 +76,19 @@ class Stages:
             delete(self.spark, df._stage_path)
 
 
+def few(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in no more parts than the size of ``source``, from whose rows it comes, needs. Sizes that are unknown count as large."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(1, size // PART_BYTES)) if size < partitions(df.sparkSession) * PART_BYTES else df
+
+
+def digest_of(text: str | Column) -> Column:
+    """16 bytes that name a text."""
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("binary") if isinstance(text, str) else text, 256)), 1, 16)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
