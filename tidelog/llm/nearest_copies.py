@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Memo, Stages, rows_out, slices, text_of
+from tidelog.llm.common import Memo, Stages, digest_of, rows_out, slices, text_of
 from tidelog.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -42,8 +42,6 @@ COORDINATES, BAND = 160, 4
 SIMILAR = (75, 100)
 #: Band entries of one reference that are dealt out together; larger ones go to several tasks.
 SLOT_ENTRIES = 1000
-#: Stands for a null doc_id while components are computed: after every other id.
-NO_ID = (1 << 62) - 1
 _U = np.uint64
 _WORD_AT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -76,15 +74,6 @@ class Shingler:
         return np.unique(mix(s))
 
 
-_shingler: list[Shingler] = []
-
-
-def shingler() -> Shingler:
-    if not _shingler:
-        _shingler.append(Shingler())
-    return _shingler[0]
-
-
 def sketch(shingles: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """t coordinates of a non-empty set: the round in the high bits, the hash below."""
     bins = np.full(t, np.iinfo(np.uint64).max, _U)
@@ -113,35 +102,35 @@ def bands(coordinates: np.ndarray, width: int = BAND) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class binary, bands array<long>); null class and bands for documents without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """Of (doc_id, digest, text): (doc_id, digest, n, class binary, bands array<long>); null class and bands for texts without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        cut = shingler()
+        cut = Shingler()
         with np.errstate(over="ignore"):
             for b in slices(batches, "text"):
                 n, cls, keys = [], [], []
-                for text in b.column(1).to_pylist():
+                for text in b.column(2).to_pylist():
                     s = cut(text_of(text))
                     n.append(len(s))
                     cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     keys.append(bands(sketch(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class binary, bands array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, n long, class binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles binary): each text's sorted fingerprints."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """Of (node, text): (node, shingles binary), each text's sorted fingerprints."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        cut = shingler()
+        cut = Shingler()
         with np.errstate(over="ignore"):
             for b in slices(batches, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([cut(text_of(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -190,8 +179,7 @@ def referenced(labelled: DataFrame) -> DataFrame:
 
 
 def with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Joined by node and size: rows of one doc_id may hold several texts."""
-    return rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles"), ["node", "n"])
+    return rows.join(sets, "node")
 
 
 def reference_sets(group: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,10 +231,10 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(y, keys).where(F.col("a_label") != F.col("b_label")).where(once).where(close("a_n", "b_n"))
 
 
-def residual_pairs(labelled: DataFrame, sets: DataFrame, stages: Stages) -> DataFrame:
-    """Pairs (a, b) of different labels in a band of (band, node, n, label) that the reference sets don't rule out."""
+def residual_pairs(labelled: DataFrame, sets: DataFrame, stages: Stages, entries: int) -> DataFrame:
+    """Pairs (a, b) of different labels in a band of (band, node, n, label), at most ``entries`` rows, that the reference sets don't rule out."""
     need, of = SIMILAR
-    held = stages.keep(parted(stages.keep(referenced(labelled)), sets))
+    held = stages.keep(parted(stages.keep(referenced(labelled), entries), sets), entries)
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * need / of))
     rows = held.withColumn("wanted", shared_at_least(F.col("n"), smallest) - F.col("inside"))
 
@@ -264,47 +252,84 @@ def residual_pairs(labelled: DataFrame, sets: DataFrame, stages: Stages) -> Data
     return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those of different labels: (a, b, a_label, b_label)."""
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias(f"{c}_node"), F.col("label").alias(f"{c}_label"))
+        pairs = pairs.join(of, F.col(c) == F.col(f"{c}_node"), "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c)).drop(f"{c}_node")
+    return pairs.where("a_label <> b_label")
+
+
+def joined(labels: DataFrame, edges: DataFrame, stages: Stages, nodes: int) -> DataFrame:
+    """The labels after more edges (a, b): components of the graph between labels, then the old labels' new ones."""
+    if not edges.limit(1).count():
+        return labels
+    between = stages.keep(apart(edges, labels).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), nodes)
+    to = components(between, stages, nodes).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    # labels that had no link before name themselves
+    new = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stages.keep(new.unionByName(to.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))), nodes)
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
-    A null text is empty; a document without words is linked with nothing and kept. Rows
-    that share a doc_id are one document for linking, whatever their texts. A null doc_id
-    counts as larger than any other; where it is the only id reachable, component_id is
-    null, and the row is kept. An empty table gives no rows.
+    A null text is empty; a row without words is linked with nothing and is its own
+    component. Other rows that share a doc_id are linked, whatever their texts. Rows with a
+    null doc_id are documents of their own, linked by their texts alone. component_id is the
+    smallest doc_id reachable, null where no row of the component has one; kept says whether
+    it equals doc_id, null equalling null. An empty table gives no rows.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "near")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", digest_of("text"))
     rows = stages.keep(signatures(docs))
-    classes = stages.keep(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    # a node is a class of texts with equal shingle sets; it is known by a number, since ids may be null or repeat
+    found = rows.where("n > 0").groupBy("class").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    total = rows.count()
+    classes = stages.keep(found.withColumn("node", F.monotonically_increasing_id()), total)
+    placed = stages.keep(rows.select("doc_id", "n", "class").join(classes.select("class", "node"), "class", "left").select("doc_id", "n", "node"), total)
+    stages.drop(rows)
 
     entries = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = stages.keep(entries.join(shared.select("band", "first"), "band").select("band", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    # stored, so that a band of many members can be parted when it is joined
+    shared = stages.keep(shared.select("band", "first"))
+    members = stages.keep(entries.join(shared, "band").select("band", "node", "n", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")))
+    held = members.count()
 
-    pairs = members.where(F.col("node") > F.col("pivot")).where(close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    meets = members.where(F.col("node") > F.col("pivot")).where(close("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("agree"))
+    meets = stages.keep(meets, held)
     # rows of one doc_id belong together, also where their texts differ
-    own = rows.join(classes.select("class", "node"), "class").select("doc_id", "node").distinct()
-    edges = own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    sets = stages.keep(shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")).distinct())
+    named = placed.where("doc_id is not null and node is not null").select("doc_id", "node")
+    several = stages.keep(named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z"), total)
+    own = named.join(several.select("doc_id", "a"), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    # equal texts are cut into shingles once
+    texts = docs.where("text is not null").groupBy("digest").agg(F.any_value("text").alias("text"))
+    wanted = classes.select("digest", "node").join(members.select("node").distinct(), "node", "left_semi")
+    sets = stages.keep(shingle_sets(texts.join(wanted, "digest")))
 
     def confirmed(p):
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return similar(p.join(x, "a").join(y, "b"))
 
-    edges = stages.keep(edges.unionByName(confirmed(stages.keep(pairs))))
-    labels = components(edges, stages)
+    # each class first meets the pivot that it agrees with most; other pivots matter only where labels still differ
+    best = meets.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+    edges = stages.keep(own.unionByName(confirmed(stages.keep(best, total))), total)
+    labels = components(edges, stages, total)
+    rest = apart(meets.select("a", "b"), labels).select("a", "b")
+    labels = joined(labels, stages.keep(confirmed(stages.keep(rest, held)), held), stages, total)
     # the pivots met every member; what is left matters where components still differ
-    left = members.where("node <> pivot or n <> pivot_n").select("band", "node", "n")
-    labelled = stages.keep(left.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")))
-    late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages))))
+    left = members.where("node <> pivot").select("band", "node", "n")
+    labelled = stages.keep(left.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")), held)
+    late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages, held), held)), held)
     stages.drop(labelled)
-    if late.limit(1).count():
-        labels = components(edges.unionByName(late), stages)
-
-    of_class = classes.select("class", F.col("node").alias("class_node"))
-    found = rows.select("doc_id", "n", "class").join(of_class, "class", "left").withColumn("node", F.coalesce("class_node", F.when(F.col("n") > 0, F.col("doc_id"))))
-    out = found.join(labels, "node", "left").withColumn("c", F.coalesce("label", "node", "doc_id"))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("c").alias("component_id"), (F.col("c") == F.col("doc_id")).alias("kept"))
+    labels = joined(labels, late, stages, total)
+
+    # (node, label) of every class; labels has those with links only
+    of_node = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    least = placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(of_node, "node")
+    components_of = least.groupBy("label").agg(F.min("least").alias("component_id")).join(of_node, "label").select("node", "component_id")
+    out = placed.join(components_of, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
