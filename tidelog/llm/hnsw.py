@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard, in flat arrays.
 
 Each shard's distinct directions are inserted into a layered graph (Malkov and Yashunin).
-Neighbours stand in one int32 matrix per layer, -1 where there is none. Every query
-searches every shard; the shards' best are merged. Rows whose vectors are equal share one
+Neighbours stand in one int32 matrix per layer, -1 where there is none. The graph is built
+once and stored as these flat arrays, with its shard's rows; tasks that search load it.
+Every query searches every shard; the shards' best are merged. Rows whose vectors are equal share one
 node, so copies, however many, don't crowd a node's neighbours.
 """
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import Stages
 from tidelog.llm.vectors import search, usable
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16_384
 LINKS = 12
 EF_BUILD, EF_SEARCH = 64, 96
 SEED = 7
@@ -36,6 +37,18 @@ class Graph:
         for i in range(n):
             self._insert(i, int(levels[i]))
 
+    def flat(self) -> list[np.ndarray]:
+        return [np.array([self.entry, self.top], np.int64), *self.counts, *self.layers]
+
+    @classmethod
+    def loaded(cls, points: np.ndarray, buffers: list[bytes]) -> Graph:
+        self = cls.__new__(cls)
+        self.points, n = np.ascontiguousarray(points, np.float32), (len(buffers) - 1) // 2
+        self.entry, self.top = np.frombuffer(buffers[0], np.int64).tolist()
+        self.counts = [np.frombuffer(x, np.int32) for x in buffers[1 : 1 + n]]
+        self.layers = [np.frombuffer(x, np.int32).reshape(len(points), -1) for x in buffers[1 + n :]]
+        return self
+
     def _near(self, layer: int, query: np.ndarray, entries: list[tuple[float, int]], ef: int) -> list[tuple[float, int]]:
         """The best ``ef`` found from ``entries``, best first, as (similarity, point)."""
         neighbours, counts, points = self.layers[layer], self.counts[layer], self.points
@@ -115,14 +128,19 @@ class Graph:
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """In double precision, each row by itself, so equal rows have equal scores."""
+    """In double precision, each row by itself, so equal rows have equal scores.
+
+    Rows and query are first scaled by powers of two, which changes no digit and keeps squares from overflowing.
+    """
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None])
+    query = np.ldexp(query, -int(np.frexp(np.abs(query).max(initial=0.0))[1]))
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
 class Shard:
     """A graph over the distinct vectors of a shard, with each one's row places in the order of their ids."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, buffers: list[bytes] | None = None):
         self.ids, self.values = ids, values
         order = np.argsort(ids, kind="stable")
         raw = np.ascontiguousarray(values[order]).view(np.dtype((np.void, values.shape[1] * 8 or 1))).ravel() if values.shape[1] else np.zeros(len(ids))
@@ -132,7 +150,8 @@ class Shard:
         self.distinct = values[order[first]] if len(ids) else values
         # scaled by the largest component first, so that squares neither overflow nor vanish
         scaled = self.distinct / np.abs(self.distinct).max(axis=1, keepdims=True) if len(ids) else self.distinct
-        self.graph = Graph(scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True)))
+        points = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+        self.graph = Graph(points) if buffers is None else Graph.loaded(points, buffers)
 
     def nearest(self, query_id: int, query: np.ndarray, k: int, ef: int = EF_SEARCH) -> tuple[np.ndarray, np.ndarray]:
         unit = query / np.abs(query).max()
@@ -156,11 +175,15 @@ def nearest(vectors: DataFrame, k: int = 5, modulus: int = 50, id_column: str =
     """
     rows = usable(vectors, id_column, vector).where(F.exists("v", lambda x: x != 0))
 
-    def find(_, ids, values, query_ids, query_values):
-        shard = Shard(ids, values)
-        found = [shard.nearest(query_ids[i], query_values[i], k) for i in range(len(query_ids))]
-        q = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
-        none = [np.empty(0, np.int64)]
-        return q, np.concatenate([a for a, _ in found] or none).astype(np.int64), np.concatenate([s for _, s in found] or [np.empty(0)])
+    def load(ids, values, buffers):
+        shard = Shard(ids, values, buffers)
+
+        def find(query_ids, query_values):
+            found = [shard.nearest(query_ids[i], query_values[i], k) for i in range(len(query_ids))]
+            q = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
+            score = np.concatenate([s for _, s in found])
+            return q, np.concatenate([a for a, _ in found]).astype(np.int64), score, score
+
+        return find
 
-    return search(rows, modulus, k, find, Stages(vectors.sparkSession, "hnsw"), shard_rows, "double")
+    return search(rows, modulus, k, lambda ids, values: Shard(ids, values).graph.flat(), load, Stages(vectors.sparkSession, "hnsw"), shard_rows, "double")

@@ -1,8 +1,9 @@
 """Vector tables in blocks: what both vector searches share.
 
-Vectors are dealt by a hash of their id into blocks of about BLOCK_ROWS, and each block is
-one row holding flat arrays. A stated set of queries meets every block: query blocks are
-repeated once per data block, so what moves is queries times blocks, never pairs.
+Rows are dealt at random into blocks of about ``block_rows``. Each block's index is built
+once and stored beside its rows as flat arrays. A stated set of queries meets every block:
+a block's rows and index go to one task, followed by the queries in small lots, so what
+moves is queries times blocks, never pairs, and no index is built or sent twice.
 """
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import Stages
 
 BLOCK_ROWS = 8192
+#: Queries that move together.
+LOT_ROWS = 256
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("values", pa.binary()), ("dims", pa.int32())])
 _BLOCK_DDL = "block long, ids binary, values binary, dims int"
 
@@ -29,11 +32,11 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, dims: int, count: int) -> DataFrame:
-    """Rows (id, v) as ``count`` blocks, shorter vectors filled with zeros to ``dims``.
+    """Rows (row, id, v) as ``count`` blocks (block, parts), shorter vectors filled with zeros to ``dims``.
 
     Tasks first pack what they hold of a block, so the shuffle moves flat arrays; a block's
-    parts are then joined. A block holds a bounded number of rows on average, whatever the
-    number of rows.
+    parts are then joined. Rows are dealt by their number, so neither an id nor a vector that
+    repeats makes a block larger than others.
     """
 
     def part(batches):
@@ -44,8 +47,8 @@ def blocks(rows: DataFrame, dims: int, count: int) -> DataFrame:
                 at = which == k
                 yield pa.RecordBatch.from_pydict({"block": [k], "ids": [ids[at].tobytes()], "values": [values[at].tobytes()], "dims": [dims]}, schema=_BLOCK)
 
-    parts = rows.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("long").alias("block"), "id", "v").mapInArrow(part, _BLOCK_DDL)
-    return parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ids", "values"))).alias("parts")).select("block", "parts", F.lit(dims).alias("dims"))
+    parts = rows.select(F.pmod(F.xxhash64("row"), F.lit(count)).cast("long").alias("block"), "id", "v").mapInArrow(part, _BLOCK_DDL)
+    return parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ids", "values"))).alias("parts"))
 
 
 def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
@@ -64,32 +67,51 @@ def opened(parts: list[dict], dims: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(b"".join(p["values"] for p in parts), np.float64).reshape(len(ids), dims)
 
 
-def search(rows: DataFrame, modulus: int, k: int, find: Callable, stages: Stages, block_rows: int, score: str) -> DataFrame:
+def indexed(data: DataFrame, dims: int, build: Callable) -> DataFrame:
+    """Blocks with their index: (block, ids binary, values binary, arrays array<binary>)."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("values", pa.binary()), ("arrays", pa.list_(pa.binary()))])
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, values = opened(b.column(1)[i].as_py(), dims)
+                arrays = [x.tobytes() for x in build(ids, values)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([ids.tobytes()]), pa.array([values.tobytes()]), pa.array([arrays], pa.list_(pa.binary()))], schema=schema)
+
+    return data.select("block", "parts").mapInArrow(run, "block long, ids binary, values binary, arrays array<binary>")
+
+
+def search(rows: DataFrame, modulus: int, k: int, build: Callable, load: Callable, stages: Stages, block_rows: int, score: str) -> DataFrame:
     """For ids divisible by ``modulus``, the best ``k`` of all other rows.
 
-    ``find(ids, values, query_ids, query_values)`` gives (query place, row place, score)
-    arrays for one block: at least the best ``k`` of the block for each query, or what its
-    index finds. Best is the highest score, ties to the smaller id.
+    ``build(ids, values)`` gives a block's index as a list of arrays, ``load(ids, values,
+    buffers)`` makes a searcher of it: a function from (query ids, query values) to (query
+    place, row place, score, size) arrays, at least the best ``k`` of the block for each
+    query, or what its index finds. Best is the highest score; of equal scores the highest
+    size (the same number in double precision), then the smaller id.
     """
-    rows = stages.keep(rows)
+    rows = stages.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     shape = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims"), F.count_if(F.col("id") % modulus == 0).alias("q")).first()
     count, dims = max(1, math.ceil(shape.n / block_rows)), shape.dims
-    data = blocks(rows, dims, count)
-    queries = blocks(rows.where(F.col("id") % modulus == 0), dims, max(1, math.ceil(shape.q / block_rows))).select(F.col("parts").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())])
+    stored = stages.keep(indexed(blocks(rows, dims, count), dims, build))
+    lots = blocks(rows.where(F.col("id") % modulus == 0), dims, max(1, math.ceil(shape.q / LOT_ROWS)))
+    queries = lots.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"), F.col("block").alias("lot"), "parts")
+    none, one = F.lit(None), F.array(F.struct("ids", "values"))
+    first = stored.select("block", F.lit(-1).cast("long").alias("lot"), one.alias("parts"), "arrays")
+    dealt = first.unionByName(queries.withColumn("arrays", none.cast("array<binary>"))).repartition(count, "block").sortWithinPartitions("block", "lot")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64()), ("size", pa.float64())])
 
     def meet(batches):
-        made: dict = {}
+        find = ids = None
         for b in batches:
             for i in range(b.num_rows):
-                block = b.column(0)[i].as_py()
-                if block not in made:  # rows of a block stand together
-                    made = {block: opened(b.column(1)[i].as_py(), dims)}
-                ids, values = made[block]
-                q_ids, q_values = opened(b.column(2)[i].as_py(), dims)
-                q, r, s = find(block, ids, values, q_ids, q_values)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(ids[r]), pa.array(s, schema.field(2).type)], schema=schema)
-
-    met = data.join(queries.hint("shuffle_merge"), "block").select("block", "parts", "queries").mapInArrow(meet, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                mine, values = opened(b.column(2)[i].as_py(), dims)
+                if b.column(1)[i].as_py() < 0:  # a block's own rows come before its queries
+                    ids, find = mine, load(mine, values, b.column(3)[i].as_py())
+                    continue
+                q, r, s, size = find(mine, values)
+                yield pa.RecordBatch.from_arrays([pa.array(mine[q]), pa.array(ids[r]), pa.array(s, schema.field(2).type), pa.array(size, pa.float64())], schema=schema)
+
+    met = dealt.mapInArrow(meet, f"query_id long, vec_id long, score {score}, size double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
