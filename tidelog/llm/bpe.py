@@ -54,7 +54,7 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pretoken. Heap entries are one number each: rank, then merged id, then place."""
-        sym = [self.bytes_ids[b] for b in piece]
+        sym = [i for b in piece if (i := self.bytes_ids[b]) is not None]  # bytes without an entry are passed over
         n = len(sym)
         get = self.merges.get
         heap = [m << 32 | i for i in range(n - 1) if (m := get(sym[i] << ID_BITS | sym[i + 1])) is not None]

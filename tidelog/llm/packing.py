@@ -123,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_tokens: int
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # max_tokens rows at most
     planned = plan(histogram, max_tokens)
 
-    salt = F.xxhash64("doc_id", "piece", "ids_crc32")
+    salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # parts rows that repeat, too
     ordered = cut.withColumn("_salt", salt).repartitionByRange(partitions(spark), "length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece")
     ordered = stages.keep(ordered.drop("_salt").withColumn("_at", F.monotonically_increasing_id()))
     sizes = {r.p: r["count"] for r in ordered.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}  # a row per partition

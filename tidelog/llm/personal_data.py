@@ -52,16 +52,27 @@ FOR = {
 AGAINST = r"token|version|licen[sc]e|isbn|issn|\bdoi\b|\brfc\b|order|invoice|serial|hash|commit"
 
 
-def _spans(parts: Column, kind: str, strict: bool | None) -> Column:
-    """Every second part is a match: (kind, start, end, s, before, strict) of each."""
+#: Parts of a text that are walked at once; an even number, so that every lot begins outside of matches.
+LOT = 256
+
+
+def _spans(parts: str, kind: str, strict: bool | None) -> Column:
+    """Every second part is a match: (kind, start, end, s, before, strict) of each.
+
+    Lists that grow are copied at each step, so parts are walked in lots of LOT.
+    """
     kept = "null" if strict is None else str(strict).lower()
     empty = "cast(array() as array<struct<kind:string,start:int,end:int,s:string,before:string,strict:boolean>>)"
-    return F.expr(
-        f"aggregate({parts}, named_struct('odd', false, 'at', 0, 'before', '', 'out', {empty}),"
+    lots = f"transform(sequence(0, (size({parts}) - 1) div {LOT}), k -> slice({parts}, k * {LOT} + 1, {LOT}))"
+    starts = "aggregate(o.lots, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, l) -> named_struct('at', a.at + aggregate(l, 0, (n, x) -> n + char_length(x)), 'out', concat(a.out, array(a.at))), a -> a.out)"
+    walk = (
+        f"aggregate(l, named_struct('odd', false, 'at', s[i], 'before', '', 'out', {empty}),"
         f" (a, x) -> named_struct('odd', not a.odd, 'at', a.at + char_length(x), 'before', if(a.odd, '', right(x, {CONTEXT})),"
         f" 'out', if(a.odd, concat(a.out, array(named_struct('kind', '{kind}', 'start', a.at, 'end', a.at + char_length(x), 's', x, 'before', a.before, 'strict', cast({kept} as boolean)))), a.out)),"
         " a -> a.out)"
     )
+    # arrays of one element name what is used twice: the lots, and where each of them starts
+    return F.expr(f"flatten(transform(array(named_struct('lots', {lots})), o -> flatten(transform(array({starts}), s -> flatten(transform(o.lots, (l, i) -> {walk}))))))")
 
 
 def _parts(pattern: str, there: Column, zero_width: bool = False) -> Column:
@@ -71,7 +82,7 @@ def _parts(pattern: str, there: Column, zero_width: bool = False) -> Column:
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """Adds ``_found``: the proposals of each text, base ones strict."""
+    """Adds ``_found`` to (row, text): the proposals of each text, base ones strict."""
     t = F.col("_t")
     df = docs.withColumn("_t", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, SPARE))
     df = df.withColumns(
@@ -182,14 +193,14 @@ def score_expr(x: Column, w: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Every row with ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed, then start.
+def located(docs: DataFrame) -> DataFrame:
+    """(row, base, spans): every row as a struct, with arrays of (kind, start, end), by kind as listed, then start.
 
-    Places are code points, the end exclusive. Null text is empty; rows that repeat and
-    null ids are like any other; other columns stay as they are. An empty table gives no rows.
+    The struct keeps the columns of ``docs`` apart, so they may have any names.
     """
     stages = Stages(docs.sparkSession, "personal")
-    voted = proposals(docs).withColumn("_found", F.transform("_found", votes))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    voted = proposals(packed).drop("text").withColumn("_found", F.transform("_found", votes))
     voted = stages.keep(voted)
     counts = voted.select(F.explode("_found").alias("x")).groupBy("x.kind", "x.size", *(f"x.{n}" for n in LABELERS)).agg(F.count("*").alias("n"))
     table = sorted(counts.collect(), key=repr)  # kinds * sizes * 3 votes for each labeler: 432 rows at most
@@ -206,6 +217,17 @@ def find(docs: DataFrame) -> DataFrame:
     return voted.withColumns({"base": inside(F.filter("_found", lambda x: x["strict"])), "spans": inside(sure)}).drop("_found")
 
 
+def find(docs: DataFrame) -> DataFrame:
+    """Every row with ``base`` and ``spans``: arrays of (kind, start, end), by kind as listed, then start.
+
+    Places are code points, the end exclusive. Null text is empty; rows that repeat and
+    null ids are like any other; other columns stay as they are, except that ones named base
+    or spans give way. An empty table gives no rows.
+    """
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("base", "spans")]
+    return located(docs).select(*own, "base", "spans")
+
+
 def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -221,11 +243,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The rows with every span of ``text`` replaced by its kind in angle brackets. Null text stays null.
+    """The rows with every span of ``text`` replaced by its kind in angle brackets.
 
-    Spans that overlap go as one, under the kind of the longest (of equally long ones, the first).
+    Spans that overlap go as one, under the kind of the longest (of equally long ones, the
+    first). Null text stays null, rows that repeat and null ids are like any other, and all
+    other columns stay as they are, whatever their names. An empty table gives no rows.
     """
-    found = find(docs.withColumn("_as_is", F.col("text")))
+    found = located(docs).withColumn("_as_is", F.col("row.text").cast("string"))
     found = found.withColumn("_by", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
     # at: the end of what is written; start, end, size, kind: the open stretch, the length and kind of its longest span
     opened = "'start', x.start, 'end', x.end, 'size', x.end - x.start, 'kind', x.kind"
@@ -238,4 +262,4 @@ def masked(docs: DataFrame) -> DataFrame:
         " a -> concat(array_join(" + written + ", ''), substring(_as_is, a.end + 1)))"
     )
     changed = F.when(F.size("_by") > 0, text).otherwise(F.col("_as_is"))
-    return found.withColumn("text", changed).select(*docs.columns)
+    return found.select(*(changed.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

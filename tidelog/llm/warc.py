@@ -7,12 +7,15 @@ headers and payload digest. ``serialise`` and ``parse`` turn rows into WARC/1.1
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +34,11 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the U
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|blockquote|pre|title|head|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)>", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HTML, _LANG = re.compile(r"<html\b([^>]*)>", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -50,8 +55,15 @@ def plain_text(html: str) -> str:
     return _visible(_GONE.sub("", html))
 
 
+def closed(html: str) -> tuple[str, str]:
+    """Up to the last ``>``, and what follows. In the first part every tag that opens also closes, so patterns that look for its end are linear."""
+    end = html.rfind(">") + 1
+    return html[:end], html[end:]
+
+
 def _visible(shown: str) -> str:
-    s = _TAG.sub("", _BREAK.sub("\n", shown))
+    head, tail = closed(shown)
+    s = _TAG.sub("", _BREAK.sub("\n", head)) + tail
     lines = (_BLANK.sub(" ", x).strip() for x in entities.unescape(s).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -64,25 +76,73 @@ def response(key: int | None, url: str, html: str, date: str) -> tuple:
     return (key, "response", record_id("response", str(key), url, digest(payload)), None, url, date, "application/http; msgtype=response", len(block), digest(payload), digest(block), None, block)
 
 
+def title_of(html: str) -> str | None:
+    start = _TITLE.search(html)
+    end = _TITLE_END.search(html, start.end()) if start else None
+    return plain_text(html[start.end() : end.start()]) if end else None
+
+
+def links_of(shown: str) -> list[str]:
+    found = (_HREF.search(x) for x in _ANCHOR.findall(shown))
+    return [entities.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
+
+
+def dechunked(body: bytes) -> bytes:
+    """The content of a body in chunks; what can't be read so stays as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) if out else body
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out) if out else body
+
+
+def content(payload: bytes, headers: list[list[str]]) -> str:
+    """The page as text: transfer and content encodings undone, read in the charset that is named, or else as UTF-8."""
+    named = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = dechunked(payload)
+    kind = named.get("content-encoding", "")
+    if "gzip" in kind or "deflate" in kind:
+        for bits in (47, -15):  # with a header, then without
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    charset = _CHARSET.search(named.get("content-type", ""))
+    try:
+        codec = codecs.lookup(charset[1]).name if charset else "utf-8"
+        return payload.decode(codec, "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 def derive(record: dict) -> list[tuple]:
     """The metadata and the conversion record of a response record."""
     head, _, payload = bytes(record["block"]).partition(b"\r\n\r\n")
     status, *fields = head.decode("utf-8", "replace").split("\r\n")
     headers = [x.split(":", 1) for x in fields if ":" in x]
     headers = [[k.strip(), v.strip()] for k, v in headers]
-    html = payload.decode("utf-8", "replace")
+    html = content(payload, headers)
+    tags = closed(html)[0]
     shown = _GONE.sub("", html)
     source = json.dumps({"status": status, "headers": headers}, ensure_ascii=False)
-    title, lang = _TITLE.search(html), _LANG.search(html)
-    links = [entities.unescape(m[0] or m[1] or m[2]) for m in _LINK.findall(shown)]
-    text = _visible(shown).encode()
+    root = _HTML.search(tags)
+    lang = _LANG.search(root[1]) if root else None
+    text = _visible(shown).encode("utf-8", "replace")
     about = {
         "url": record["target_uri"], "status": status, "headers": headers, "payload_digest": record["payload_digest"], "payload_length": len(payload),
-        "title": plain_text(title[1]) if title else None, "lang": lang[1] if lang else None, "links": links, "text_length": len(text),
+        "title": title_of(tags), "lang": lang[1] if lang else None, "links": links_of(closed(shown)[0]), "text_length": len(text),
     }
     out = []
-    for kind, content, block in (("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode()), ("conversion", "text/plain; charset=utf-8", text)):
-        out.append((record["key"], kind, record_id(kind, record["record_id"]), record["record_id"], record["target_uri"], record["date"], content, len(block), record["payload_digest"], digest(block), source, block))
+    for kind, content_type, block in (("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text)):
+        out.append((record["key"], kind, record_id(kind, record["record_id"]), record["record_id"], record["target_uri"], record["date"], content_type, len(block), record["payload_digest"], digest(block), source, block))
     return out
 
 
@@ -124,24 +184,38 @@ def serialise(record: dict, compress: bool = True) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file's bytes, whether in gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, back = 0, {v.lower(): k for k, v in _NAMES.items()}
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        fields = dict(x.split(": ", 1) for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        named = {k.lower(): v for k, v in fields.items()}
-        n = int(named.get("content-length", 0))
-        out = dict.fromkeys(FIELDS.names)
-        out |= {back[k]: v for k, v in named.items() if k in back}
-        out |= {"content_length": n, "source_headers": named.get("x-source-headers"), "block": data[end + 4 : end + 4 + n]}
-        yield out
-        at = end + 4 + n
+    """Records of a WARC file's bytes, whether in gzip members or plain, unpacked one record at a time.
+
+    A file that breaks off or turns unreadable gives the records that are whole before that.
+    """
+    file = io.BytesIO(data)
+    file = gzip.GzipFile(fileobj=file) if data[:2] == b"\x1f\x8b" else file
+    back = {v.lower(): k for k, v in _NAMES.items()}
+    try:
+        while line := file.readline():
+            if not line.startswith(b"WARC/1."):
+                continue
+            named: dict[str, str] = {}
+            while (line := file.readline()).strip():
+                name, sep, value = line.decode("utf-8", "replace").strip().partition(":")
+                if sep:
+                    named[name.strip().lower()] = value.strip()
+            if not line:
+                return
+            n = int(size) if (size := named.get("content-length", "0")).isdecimal() else 0
+            block = file.read(n)
+            if len(block) < n:
+                return
+            out = dict.fromkeys(FIELDS.names)
+            out |= {back[k]: v for k, v in named.items() if k in back}
+            yield out | {"content_length": n, "source_headers": named.get("x-source-headers"), "block": block}
+    except (EOFError, OSError, zlib.error):
+        return
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files. A file is read by one task, so files should be of the usual size of about 1 GB or less."""
+    """Records of WARC files. A file is read by one task, which holds it as it is stored and unpacks record by record,
+    so files should be of the usual size of about 1 GB or less."""
 
     def run(batches):
         for b in batches:
