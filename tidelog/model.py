@@ -92,6 +92,8 @@ class Config:
     monitoring_enabled: bool = False
     monitoring_port: int = 8080
     background_threads: int = 2
+    #: Versions that stay when flushes collect garbage from time to time; 0 leaves that to the caller.
+    keep_versions: int = 64
 
     def __post_init__(self):
         if not self.path:

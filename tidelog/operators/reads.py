@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.model import prefix_end
 from tidelog.operators.resolve import visible
 from tidelog.sources.files import scratch
 
@@ -47,10 +46,6 @@ def scan(ops: DataFrame, start=None, end=None, reverse: bool = False, limit: int
     return out if limit is None else out.limit(limit)
 
 
-def prefix_scan(ops: DataFrame, prefix: bytes) -> DataFrame:
-    return scan(ops, prefix, prefix_end(prefix))
-
-
 def first(ops: DataFrame) -> DataFrame:
     return scan(ops, limit=1)
 

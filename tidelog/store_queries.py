@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import io
 import json
+import uuid
 from urllib.error import HTTPError
 from urllib.request import urlopen
 
@@ -19,7 +20,7 @@ from tidelog import model
 from tidelog.background import BackgroundWorker
 from tidelog.model import Config
 from tidelog.operators.transactions import Transaction
-from tidelog.plans import explain
+from tidelog.plans import explain, stats
 from tidelog.plans.cache import LruCache, ScanCache
 from tidelog.plans.stats import Timer, Timings
 from tidelog.queries import LATEST, LIVE_O, META_L, O, lines, view_l, view_o
@@ -201,6 +202,37 @@ def snapshot(spark, sf) -> DataFrame:
     return text(Store.open(spark, store.config, version=versions[1]).scan())
 
 
+def as_of(spark, sf) -> DataFrame:
+    """The state as of an operation in the middle of a log that is not flushed yet."""
+    store = opened(spark)
+    store.write_frame(ops(spark, sf))
+    return text(store.snapshot_at(store.manifest.next_seq - 1 - 300))
+
+
+def levels(spark, sf) -> DataFrame:
+    """Statistics by level from the manifest: two quarters at level 1, two at level 0."""
+    store = opened(spark)
+    quarters(spark, sf, store, lambda s: (s.flush(), s.compact_level(0) if s.counters["flushes"] == 2 else None))
+    return stats.level_stats(store.runs_frame()).select("level", "entries", (F.col("runs") > 0).alias("has_runs"))
+
+
+def prefixed(spark, sf) -> DataFrame:
+    return text(quarters(spark, sf, opened(spark)).prefix_scan("0000001"))
+
+
+def hourly(spark, sf) -> DataFrame:
+    """The newest operation of each key and hour, of hours that the stream's watermark has closed."""
+    from tidelog.streaming.ingest import latest_per_key
+
+    at, name = scratch(spark, "hourly"), f"hourly_{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(at)
+    changes = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    newest = latest_per_key(changes, "ts")
+    newest.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{at}-check").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("key", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "seq", "is_tombstone")
+
+
 def streamed(spark, sf) -> DataFrame:
     """Two streams into one store, each started twice: every batch is applied once."""
     from tidelog.streaming.ingest import append_stream
@@ -579,6 +611,18 @@ STORE_QUERIES = {
     "kv_store_crashed": (crashed, f"SELECT step, (SELECT count(*) FROM ({FEW_LIVE}) AS kv) + n AS live FROM (VALUES ('write_part', 1), ('claim', 2)) AS v(step, n)"),
     "kv_store_garbage": (garbage, f"SELECT count(*) AS live, 0 AS young_gone, true AS old_gone, 0 AS log_left FROM ({LIVE}) AS kv"),
     "kv_store_snapshot": (snapshot, f"SELECT key, value FROM ({LATEST.format(ops=f'SELECT * FROM ({QUARTER}) AS q WHERE quarter < 2')}) AS newest WHERE NOT is_tombstone"),
+    "kv_store_as_of": (as_of, f"SELECT key, value FROM ({LATEST.format(ops=f'SELECT * FROM ({OPS}) AS o WHERE seq <= (SELECT max(event_id) - 300 FROM events)')}) AS newest WHERE NOT is_tombstone"),
+    "kv_store_levels": (
+        levels,
+        f"SELECT 1 AS level, count(DISTINCT key) FILTER (NOT is_tombstone) AS entries, true AS has_runs FROM ({LATEST.format(ops=f'SELECT * FROM ({QUARTER}) AS q WHERE quarter < 2')}) AS newest"
+        f" UNION ALL SELECT 0, count(DISTINCT key || ' ' || quarter), true FROM ({QUARTER}) AS q WHERE quarter >= 2",
+    ),
+    "kv_store_prefixed": (prefixed, f"SELECT * FROM ({LIVE}) AS kv WHERE starts_with(key, '0000001')"),
+    "kv_stream_hourly": (
+        hourly,
+        "SELECT key, hour, seq, is_tombstone FROM (SELECT CAST(user_id AS varchar) AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, date_trunc('hour', ts) AS h, event_id AS seq, event_type = 'error' AS is_tombstone,"
+        " row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id DESC) AS rn FROM events) AS e WHERE rn = 1 AND h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    ),
     "kv_store_streamed": (streamed, f"SELECT *, ({ALL}) AS writes FROM ({LIVE}) AS kv"),
     "kv_store_imported": (imported, f"SELECT *, (SELECT count(*) FROM events WHERE event_type <> 'view') AS imported FROM ({CLI_IMPORT}) AS kv"),
     "kv_store_exported": (exported, f"SELECT key || ' => ' || value AS line FROM ({LIVE}) AS kv"),
