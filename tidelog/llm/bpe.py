@@ -50,7 +50,7 @@ class Bpe:
         self.strings |= {i: s.encode() for s, i in special.items()}
         self._split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self._pretokens = regex.compile(PATTERN).findall
-        self._memo = Memo(self._short)
+        self._memo = Memo(self._short, 1 << 17)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pretoken. Heap entries are one number each: rank, then merged id, then place."""

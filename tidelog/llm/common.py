@@ -16,7 +16,7 @@ BATCH_BYTES = 8 << 20
 #: Rows that Spark gathers for Python at once, unless the session says otherwise; its own 10,000 long documents are too many.
 BATCH_ROWS = 1000
 #: Small tables are written in parts of at least about so many narrow rows, or so many bytes of documents.
-PART_ROWS, PART_BYTES = 100_000, 8 << 20
+PART_ROWS, PART_BYTES = 25_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,13 +51,13 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 class Stages:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs no more.
 
-    ``keep`` writes a frame and returns it reread; ``drop`` removes what later steps no
-    longer need; the rest goes when the interpreter ends.
+    ``keep`` writes a frame and returns it reread; ``drop`` and ``only`` remove what later
+    steps no longer need; the rest goes when the interpreter ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.held = 0, set()
         bound_batches(spark)
         atexit.register(_delete_at_exit, spark, self.root)
 
@@ -69,12 +69,20 @@ class Stages:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
+        self.held.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
+            self.held.discard(df._stage_path)
             delete(self.spark, df._stage_path)
 
+    def only(self, *frames: DataFrame) -> None:
+        """Drops all tables but these."""
+        for path in self.held - {df._stage_path for df in frames}:
+            delete(self.spark, path)
+        self.held = {df._stage_path for df in frames}
+
 
 def few(df: DataFrame, source: DataFrame) -> DataFrame:
     """``df`` in no more parts than the size of ``source``, from whose rows it comes, needs. Sizes that are unknown count as large."""
@@ -125,7 +133,7 @@ class Memo(dict):
     When the young one is full it becomes the old one; what is asked for again moves back.
     """
 
-    def __init__(self, f: Callable, limit: int = 1 << 19):
+    def __init__(self, f: Callable, limit: int = 1 << 16):
         super().__init__()
         self.f, self.limit, self.old = f, limit, {}
 

@@ -26,4 +26,6 @@ def components(edges: DataFrame, stages: Stages, nodes: int | None = None) -> Da
         labels = new
         if not changed:
             stages.drop(both)
-            return labels.select("node", "label")
+            out = labels.select("node", "label")
+            out._stage_path = labels._stage_path
+            return out

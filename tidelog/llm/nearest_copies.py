@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Memo, Stages, digest_of, rows_out, slices, text_of
+from tidelog.llm.common import Memo, Stages, digest_of, partitions, rows_out, slices, text_of
 from tidelog.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -59,7 +59,7 @@ class Shingler:
     def __init__(self):
         import xxhash
 
-        self._memo = Memo(xxhash.xxh3_64_intdigest, 1 << 17)
+        self._memo = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
         # bytes.lower and bytes.split know ASCII letters and \x20 \x09-\x0d only, which is what is asked for
@@ -204,22 +204,33 @@ _PARTED = "ref long, slot long, slots long, least long, node long, n long, label
 def parted(group: DataFrame, sets: DataFrame) -> DataFrame:
     """Each text against its reference set: how many shingles lie inside, and which outside."""
     schema = pa.schema([*((c, pa.int64()) for c in ("ref", "slot", "slots", "least", "node", "n", "label", "inside")), ("outside", pa.list_(pa.int64()))])
+    empty = np.empty(0, np.int64)
 
     def run(batches):
-        for b in slices(batches, "shingles"):
-            inside, outside = [], []
-            for core, s in zip(b.column(7), b.column(8), strict=True):
+        at, core = None, empty
+        for b in batches:
+            places, inside, outside = [], [], []
+            for i, (ref, slot, c, s) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(7), b.column(8), strict=True)):
+                if (ref, slot) != at:
+                    at, core = (ref, slot), empty
+                if c.is_valid:  # a slot's reference set comes before its texts
+                    core = c.values.to_numpy().copy()
+                    continue
                 s = np.frombuffer(s.as_buffer(), np.int64)
-                hit = np.isin(s, core.values.to_numpy() if core.is_valid else np.empty(0, np.int64))
+                hit = np.isin(s, core)
+                places.append(i)
                 inside.append(int(hit.sum()))
                 outside.append(s[~hit])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], schema=schema)
+            left = b.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(left.column(i) for i in range(7)), pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], schema=schema)
 
-    # every task that holds a part of a large reference gets a copy of its set
-    slots = group.select("ref", "slot").distinct()
-    core = slots.join(reference_sets(group, sets), "ref")
-    joined = with_sets(group.join(core, ["ref", "slot"], "left"), sets)
-    return joined.select("ref", "slot", "slots", "least", "node", "n", "label", "core", "shingles").mapInArrow(run, _PARTED)
+    # every task that holds a slot of a large reference gets one copy of its set
+    texts = with_sets(group, sets).select("ref", "slot", "slots", "least", "node", "n", "label", F.lit(None).cast("array<long>").alias("core"), "shingles")
+    core = group.select("ref", "slot").distinct().join(reference_sets(group, sets), "ref")
+    core = core.select("ref", "slot", *(F.lit(None).cast("long").alias(c) for c in ("slots", "least", "node", "n", "label")), "core", F.lit(None).cast("binary").alias("shingles"))
+    n = partitions(group.sparkSession)
+    dealt = core.unionByName(texts).repartition(n, "ref", "slot").sortWithinPartitions("ref", "slot", F.col("core").isNull())
+    return dealt.mapInArrow(run, _PARTED)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -326,6 +337,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages, held), held)), held)
     stages.drop(labelled)
     labels = joined(labels, late, stages, total)
+    stages.only(classes, placed, labels)
 
     # (node, label) of every class; labels has those with links only
     of_node = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))

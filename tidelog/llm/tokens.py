@@ -62,8 +62,8 @@ class WordEncoder:
         self._tokenizer = tokenizer(name_or_path)
         self._model = self._tokenizer.model
         self._stand_ins = {ord(c): "".join(STAND_IN[b] for b in c.encode()) for c in map(chr, range(0xDF, 0x100))}
-        self._words = Memo(self._word)
-        self._stretches = Memo(self._stretch)
+        self._words = Memo(self._word, 1 << 17)
+        self._stretches = Memo(self._stretch, 1 << 18)
 
     def _whole(self, stretch: str) -> bytes:
         return array("I", self._tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
