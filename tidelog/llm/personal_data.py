@@ -233,13 +233,13 @@ def listed(spans: str) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, a count of base spans per kind, base_sha256, and all spans as a string."""
+    """doc_id, a count of base spans per kind, base_sha256, all spans as a string, and n_spans, how many these are."""
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def counted(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(counted, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *map(counted, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:

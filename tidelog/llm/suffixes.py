@@ -16,10 +16,10 @@ starts anywhere else is a repeat, and every unit that a repeat covers goes.
    more whose members differ in the unit before is a maximal repeat, and all its members
    are occurrences, not only neighbours in the order.
 4. An anchor with over GROUP different neighbourhoods is parted first. Its windows are dealt
-   into two halves by how far they reach to the left of the anchor; all windows of a half
-   share a longer core around the anchor, and equal windows have equal cores, so entries
-   are grouped anew by their core and count as equal if they agree in what the half covers.
-   A half of one window is its own core, so this ends after log2(length) rounds at the latest.
+   into PARTS by how far they reach to the left of the anchor; all windows of a part share
+   a longer core around the anchor, and equal windows have equal cores, so entries are
+   grouped anew by their core and count as equal if they agree in what the part covers. A
+   part of one window is its own core, so this ends after three rounds at the latest.
 
 Texts are known by a digest, so equal texts share their places, whatever their ids.
 Covered stretches meet their text again in a join by digest.
@@ -39,6 +39,8 @@ from tidelog.llm.common import Stages, digest_of, partitions, slices
 
 #: Different entries of one group that a task holds, each under 2 * length units.
 GROUP = 250
+#: A group with more of them is parted into so many.
+PARTS = 7
 #: Units of a text that are hashed at once; longer texts go through in pieces that overlap.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -312,8 +314,8 @@ def entries(texts: DataFrame, kinds: DataFrame, units: tuple[Unit, ...]) -> Data
     return once.join(wanted, "digest").select("digest", "raw", "places").mapInArrow(run, _ENTRY_DDL)
 
 
-def halves(crowd: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
-    """Every entry twice: with the windows of either half of its group's reach, keyed by what all of that half's windows share."""
+def parts_of(crowd: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
+    """Every entry with the windows of each part of its group's reach, keyed by what all of that part's windows share."""
     schema = pa.schema([*_ENTRY, ("around", pa.int64())])
 
     def hashed(*parts) -> int:
@@ -323,11 +325,12 @@ def halves(crowd: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
         for b in slices(batches, "text"):
             rows = []
             for key, k, _, lo, hi, digest, at, first, last, text in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
-                unit, middle = units[k], (lo + hi) // 2
+                unit, step = units[k], -(-(hi - lo + 1) // PARTS)
                 seq = text.split() if unit.words else text
-                for x, y in ((lo, middle), (middle + 1, hi)):
-                    near, far = max(x, at - last), min(y, at - first)  # how far its own windows of this half reach to the left
-                    if x <= y and near <= far:
+                for x in range(lo, hi + 1, step):
+                    y = min(x + step - 1, hi)
+                    near, far = max(x, at - last), min(y, at - first)  # how far its own windows of this part reach to the left
+                    if near <= far:
                         f, e = at - far, at - near
                         core, own = seq[at - x - first : at - y + unit.length - first], seq[f - first : e - first + unit.length]
                         rows.append((hashed(key, x, y, core), k, 0, x, y, digest, at, f, e, b" ".join(own) if unit.words else own, hashed(near, far, own)))
@@ -350,25 +353,26 @@ def covered(texts: DataFrame, units: tuple[Unit, ...], stages: Stages) -> tuple[
     met = stages.keep(met, total)  # stored, so that an anchor of many places can be parted when it is joined
     again = stages.keep(found.join(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), total)
     stages.drop(found)
+    # merged joins below: Spark parts a neighbourhood of very many places there, but not once it has dealt them for a broadcast
     span = ("digest", "unit", F.col("first").alias("start"), _end(units))
 
     several = again.where(~F.col("alike"))
     kinds = stages.keep(several.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("digest", "unit", "at", "first", "last")).alias("one")), total)
     out = again.where("alike").select(*span)
-    out = out.unionByName(several.join(kinds.where("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi").select(*span))
+    out = out.unionByName(several.join(kinds.where("n > 1").select("anchor", "around").hint("merge"), ["anchor", "around"], "left_semi").select(*span))
 
     sizes = stages.keep(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), total)
     cut = stages.keep(entries(texts, kinds.select("anchor", "one.*").join(sizes, "anchor"), units), total)
     while True:
         out = out.unionByName(covers(cut.where(F.col("kinds") <= GROUP), units))
         crowd = cut.where(F.col("kinds") > GROUP)
-        held = 2 * crowd.count()
+        held = PARTS * crowd.count()
         if not held:
             return out, total
-        parted = stages.keep(halves(crowd, units), held)
+        parted = stages.keep(parts_of(crowd, units), held)
         alike = parted.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("unit", "lo", "hi", "digest", "at", "first", "last", "text")).alias("one"))
         alike = stages.keep(alike, held)
-        out = out.unionByName(parted.join(alike.where("n > 1").select("key", "around"), ["key", "around"], "left_semi").select(*span))
+        out = out.unionByName(parted.join(alike.where("n > 1").select("key", "around").hint("merge"), ["key", "around"], "left_semi").select(*span))
         sizes = stages.keep(alike.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), held)
         cut = stages.keep(alike.select("key", "one.*").join(sizes, "key").select(*_ENTRY.names), held)
 
@@ -391,6 +395,7 @@ def _placed(docs: DataFrame, units: tuple[Unit, ...]) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), raw.alias("raw")).withColumn("digest", digest_of("raw"))
     spans, most = covered(rows.select("digest", "raw"), units, stages)
     places = stages.keep(spans.groupBy("digest").agg(F.collect_set(F.struct("unit", "start", "end")).alias("places")), most)
+    stages.only(places)
     return rows.join(places, "digest", "left").select("row", "raw", "places")
 
 
