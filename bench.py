@@ -39,9 +39,10 @@ def main() -> None:
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         took[name] = round(min(runs), 3)
-    with tempfile.TemporaryDirectory() as d:
-        for kind, s in bench(Store.open(spark, Config(d)), 100_000).items():
-            took[f"store_100k_{kind[:-2]}"] = round(s, 3)
+    for _ in range(2):  # the first compiles
+        with tempfile.TemporaryDirectory() as d, Store.open(spark, Config(d)) as store:
+            for kind, s in bench(store, 100_000).items():
+                took[f"store_100k_{kind[:-2]}"] = round(min(s, took.get(f"store_100k_{kind[:-2]}", s)), 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
     spark.stop()
 
