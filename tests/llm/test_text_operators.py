@@ -257,6 +257,20 @@ def test_repeats_of_the_table(docs, empty):
     assert repeats(empty) == []
 
 
+def test_registered_queries_have_their_columns(spark, docs):
+    from tidelog.llm import queries
+
+    by = queries.queries()
+    out = by["op10_suffix_array_dedup"](spark, SF)
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kept = {d: (n, removed, spans, hashlib.sha256(left).hexdigest()) for d, n, removed, spans, left in brute_repeats(texts(docs))}
+    words = dict(brute_passages(texts(docs)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == kept
+    assert {r.doc_id: r.n_passage_words for r in out.collect()} == words
+    assert by["op2_minhash_near_dedup"](spark, SF).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert by["op7_personal_data"](spark, SF).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+
+
 @pytest.mark.parametrize("group", [250, 3])
 def test_planted_repeats(spark, odd, monkeypatch, group):
     monkeypatch.setattr(suffixes, "GROUP", group)

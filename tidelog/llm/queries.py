@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, hnsw, nearest_copies, packing, personal_data, pivots, quality, suffixes, toxicity, warc
-from tidelog.llm.common import table
+from tidelog.llm.common import few, table
 
 
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -13,7 +13,8 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_copies.near_copies(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    return few(nearest_copies.near_copies(docs), docs)
 
 
 def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +46,9 @@ def score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    out = suffixes.without_repeats(table(spark, sf, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf, "documents")
+    out = few(suffixes.without_repeats(docs), docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 TOP_K_SQL = """
