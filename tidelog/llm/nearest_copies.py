@@ -42,6 +42,8 @@ COORDINATES, BAND = 160, 4
 SIMILAR = (75, 100)
 #: Band entries of one reference that are dealt out together; larger ones go to several tasks.
 SLOT_ENTRIES = 1000
+#: A row that is made with a set of shingles weighs like so many others.
+WIDE = 5
 _U = np.uint64
 _WORD_AT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -245,7 +247,7 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def residual_pairs(labelled: DataFrame, sets: DataFrame, stages: Stages, entries: int) -> DataFrame:
     """Pairs (a, b) of different labels in a band of (band, node, n, label), at most ``entries`` rows, that the reference sets don't rule out."""
     need, of = SIMILAR
-    held = stages.keep(parted(stages.keep(referenced(labelled), entries), sets), entries)
+    held = stages.keep(parted(stages.keep(referenced(labelled), entries), sets), WIDE * entries)
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * need / of))
     rows = held.withColumn("wanted", shared_at_least(F.col("n"), smallest) - F.col("inside"))
 
@@ -327,14 +329,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     # each class first meets the pivot that it agrees with most; other pivots matter only where labels still differ
     best = meets.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    edges = stages.keep(own.unionByName(confirmed(stages.keep(best, total))), total)
+    # what is confirmed comes out of joins with whole sets, so it is written in more parts than its rows need
+    edges = stages.keep(own.unionByName(confirmed(stages.keep(best, total))), WIDE * total)
     labels = components(edges, stages, total)
     rest = apart(meets.select("a", "b"), labels).select("a", "b")
-    labels = joined(labels, stages.keep(confirmed(stages.keep(rest, held)), held), stages, total)
+    labels = joined(labels, stages.keep(confirmed(stages.keep(rest, held)), WIDE * held), stages, total)
     # the pivots met every member; what is left matters where components still differ
     left = members.where("node <> pivot").select("band", "node", "n")
     labelled = stages.keep(left.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label")), held)
-    late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages, held), held)), held)
+    late = stages.keep(confirmed(stages.keep(residual_pairs(labelled, sets, stages, held), held)), WIDE * held)
     stages.drop(labelled)
     labels = joined(labels, late, stages, total)
     stages.only(classes, placed, labels)
