@@ -39,6 +39,8 @@ from tidelog.llm.common import Stages, digest_of, partitions, slices
 
 #: Different entries of one group that a task holds, each under 2 * length units.
 GROUP = 250
+#: Partitions times this is how many neighbourhoods at most are broadcast, 16 bytes each.
+HOT = 10
 #: A group with more of them is parted into so many.
 PARTS = 7
 #: Units of a text that are hashed at once; longer texts go through in pieces that overlap.
@@ -353,13 +355,20 @@ def covered(texts: DataFrame, units: tuple[Unit, ...], stages: Stages) -> tuple[
     met = stages.keep(met, total)  # stored, so that an anchor of many places can be parted when it is joined
     again = stages.keep(found.join(met.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), total)
     stages.drop(found)
-    # merged joins below: Spark parts a neighbourhood of very many places there, but not once it has dealt them for a broadcast
+    # merged joins below: Spark parts a key of very many rows there, but not once it has dealt them for a broadcast
     span = ("digest", "unit", F.col("first").alias("start"), _end(units))
 
     several = again.where(~F.col("alike"))
     kinds = stages.keep(several.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.min(F.struct("digest", "unit", "at", "first", "last")).alias("one")), total)
     out = again.where("alike").select(*span)
-    out = out.unionByName(several.join(kinds.where("n > 1").select("anchor", "around").hint("merge"), ["anchor", "around"], "left_semi").select(*span))
+    # Neighbourhoods of very many places are met where these lie: each has so large a share of all places that at most HOT
+    # times as many as there are partitions can be such. The others meet in a shuffle.
+    many = F.col("n") > max(1, total // (HOT * partitions(texts.sparkSession)))
+    hot = F.broadcast(kinds.where(many).select("anchor", "around"))
+    others = kinds.where((F.col("n") > 1) & ~many).select("anchor", "around").hint("merge")
+    key = ["anchor", "around"]
+    out = out.unionByName(several.join(hot, key, "left_semi").select(*span))
+    out = out.unionByName(several.join(hot, key, "left_anti").join(others, key, "left_semi").select(*span))
 
     sizes = stages.keep(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), total)
     cut = stages.keep(entries(texts, kinds.select("anchor", "one.*").join(sizes, "anchor"), units), total)
