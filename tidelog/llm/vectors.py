@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Stages
+from tidelog.llm.common import Stages, partitions
 
 BLOCK_ROWS = 8192
 #: Queries that move together.
@@ -31,6 +31,11 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(finite)
 
 
+def apart(spark: SparkSession, count: int) -> int:
+    """Partitions that hold about a block each, since Python gets many rows of a partition at once, with room so that few share one."""
+    return max(2 * count, partitions(spark))
+
+
 def blocks(rows: DataFrame, dims: int, count: int) -> DataFrame:
     """Rows (row, id, v) as ``count`` blocks (block, parts), shorter vectors filled with zeros to ``dims``.
 
@@ -48,7 +53,7 @@ def blocks(rows: DataFrame, dims: int, count: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"block": [k], "ids": [ids[at].tobytes()], "values": [values[at].tobytes()], "dims": [dims]}, schema=_BLOCK)
 
     parts = rows.select(F.pmod(F.xxhash64("row"), F.lit(count)).cast("long").alias("block"), "id", "v").mapInArrow(part, _BLOCK_DDL)
-    return parts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ids", "values"))).alias("parts"))
+    return parts.repartition(apart(rows.sparkSession, count), "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ids", "values"))).alias("parts"))
 
 
 def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
@@ -98,7 +103,7 @@ def search(rows: DataFrame, modulus: int, k: int, build: Callable, load: Callabl
     queries = lots.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"), F.col("block").alias("lot"), "parts")
     none, one = F.lit(None), F.array(F.struct("ids", "values"))
     first = stored.select("block", F.lit(-1).cast("long").alias("lot"), one.alias("parts"), "arrays")
-    dealt = first.unionByName(queries.withColumn("arrays", none.cast("array<binary>"))).repartition(count, "block").sortWithinPartitions("block", "lot")
+    dealt = first.unionByName(queries.withColumn("arrays", none.cast("array<binary>"))).repartition(apart(rows.sparkSession, count), "block").sortWithinPartitions("block", "lot")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64()), ("size", pa.float64())])
 
     def meet(batches):
