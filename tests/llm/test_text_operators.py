@@ -524,6 +524,31 @@ def test_training_rows(spark, monkeypatch, tmp_path):
     assert toxicity.near_copies_of(made) == made[10:]
 
 
+def test_training_sees_every_label(spark):
+    """All labelled rows that are not held out count, however many; the same from repeated rows."""
+    n = 26_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("header "), F.when(F.col("id") % 2 == 1, "stupid ").otherwise("other "), F.conv("id", 10, 2)).alias("text"))
+    labels = spark.range(2 * n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    seen = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen) > 20_000
+    model, words = toxicity.train(docs, labels, toxicity.character_counts(docs), toxicity.Stages(spark, "training"))
+    assert words == {"header": len(seen), "stupid": sum(i % 2 for i in seen), "other": sum(1 - i % 2 for i in seen)}
+    assert "stupid" in model.by_form
+
+
+def test_near_copies_of_labelled_rows(spark):
+    """The join finds what the rule on a list finds, within a class."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(400)) for _ in range(80)) for _ in range(12)]
+    texts += [t + f" end{k}" for t in texts[:6] for k in range(5)] + [t[: rng.randrange(200, len(t))] for t in texts[:8] for _ in range(4)]
+    rows = [(y, int.from_bytes(toxicity.sketch(t)[:7], "big"), bytearray(toxicity.sketch(t))) for y, part in ((0, texts), (1, texts[::3])) for t in set(part)]
+    df = spark.createDataFrame(rows, "y int, copy long, sketch binary").dropDuplicates(["y", "copy"])
+    listed = df.orderBy("y", "copy").collect()
+    gone = [(r.y, r.copy) for y in (0, 1) for r in toxicity.near_copies_of([r for r in listed if r.y == y])]
+    left = [(r.y, r.copy) for r in toxicity.without_near_copies(df).collect()]
+    assert gone and sorted(left + gone) == [(r.y, r.copy) for r in listed]
+
+
 # -- personal data --------------------------------------------------------------
 
 PERSONAL = [

@@ -10,9 +10,9 @@ Ordinary words are a lattice of one path and stay as they are. When texts are sc
 lattice is searched only if one of its paths can begin a word that weighs anything.
 
 The score of a document is a logistic function of the summed weights of its distinct
-restored words. Weights are log-odds of words and word beginnings, learned from at most
-TRAINING_ROWS labels of documents (the least by hash of their id), of which near copies
-count once: those that agree in most coordinates of a min-hash sketch. Everything else covers all rows.
+restored words. Weights are log-odds of words and word beginnings, learned from every
+labelled document that is not held out. Near copies of one label count once: a row goes if
+its min-hash sketch agrees in most coordinates with that of the first row of one of its bands.
 """
 from __future__ import annotations
 
@@ -26,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Memo, Stages, slices, text_of
+from tidelog.llm.common import Memo, Stages, few, slices, text_of
 
-#: Bounds of the model, whatever the corpus: labelled rows learned from, and the share of all their words that a known
-#: word must make up, so there are at most 1 / KNOWN_SHARE of them.
-TRAINING_ROWS = 20_000
+#: All labels are learned from, unless a number is set here: then so many, the least by hash of their id.
+TRAINING_ROWS: int | None = None
+#: The share of all words of the labelled rows that a known word must make up, so there are at most 1 / KNOWN_SHARE of them.
 KNOWN_SHARE = 5e-6
-#: Labelled rows are near copies if their sketches agree in this share of the coordinates.
-COORDINATES, COPY = 64, 0.75
+#: Labelled rows are near copies if their sketches agree in this share of the coordinates; BAND of them make a band.
+COORDINATES, COPY, BAND = 64, 0.75, 4
+#: Bits that say which ids may have a label, whatever their number; the labels decide.
+MARKS = 1 << 25
 THRESHOLD = 0.5
 #: Stretches up to this length are remembered, and tried for beginnings that weigh; longer ones are restored each time.
 REMEMBERED = 64
@@ -210,8 +212,19 @@ def possible(starts) -> re.Pattern:
     alphabet = "abcdefghijklmnopqrstuvwxyz"
     may = {c: "[" + re.escape(c + "".join(k for k, v in LOOKS.items() if c in v)) + "]" for c in set("".join(starts))}
     between = {c: "[^" + alphabet.replace(c, "") + "]*" for c in may}
-    every = ("".join(may[c] + between[c] for c in x[:-1]) + may[x[-1]] for x in sorted(starts))
-    return re.compile("|".join(every) or "(?!)")
+    tree: dict = {}
+    for x in sorted(starts):
+        if any(x[:k] in starts for k in range(1, len(x))):
+            continue
+        at = tree
+        for c in x:
+            at = at.setdefault(c, {})
+
+    def pattern(tree: dict) -> str:
+        last = "".join(may[c][1:-1] for c, x in tree.items() if not x)
+        return "|".join([f"[{last}]"] * bool(last) + [f"{may[c]}{between[c]}(?:{pattern(x)})" for c, x in tree.items() if x])
+
+    return re.compile(pattern(tree) or "(?!)")
 
 
 def forms_of(token: str, channel: Channel, worth: re.Pattern | None = None) -> tuple[str, ...]:
@@ -278,32 +291,43 @@ class Weights:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.base + self.slope * self.evidence(weighed)))))
 
 
-def choose_forms(toxic: dict[str, int], clean: dict[str, int], documents: list[set[str]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weights of the forms to use: the common telling ones, and a greedy cover of the toxic documents left."""
+def weights_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Log-odds of the forms that tell, from the numbers of rows that have them."""
 
     def odds(f: str) -> float:
         return math.log((toxic[f] + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
 
-    weight = {f: w for f in toxic if (w := odds(f)) > math.log(8)}
-    chosen = {f for f in weight if toxic[f] >= max(4, 0.015 * n_toxic) and weight[f] > math.log(40)}
-    left = [d & weight.keys() for d in documents if not d & chosen]
+    return {f: w for f in toxic if (w := odds(f)) > math.log(8)}
+
+
+def common_forms(weight: dict[str, float], toxic: dict[str, int], n_toxic: int) -> set[str]:
+    return {f for f in weight if toxic[f] >= max(4, 0.015 * n_toxic) and weight[f] > math.log(40)}
+
+
+def cover(weight: dict[str, float], left: list[tuple[frozenset, int]], n_toxic: int) -> set[str]:
+    """A greedy cover of the toxic rows without a common form: sets of forms, and how many rows have just these."""
+    chosen: set[str] = set()
     while left:
-        cover = Counter(f for d in left for f in d)
-        best = max(cover, key=lambda f: (cover[f] * weight[f], f), default=None)
-        if best is None or cover[best] < max(2, 0.004 * n_toxic):
+        covered: Counter = Counter()
+        for d, n in left:
+            for f in d:
+                covered[f] += n
+        best = max(covered, key=lambda f: (covered[f] * weight[f], f), default=None)
+        if best is None or covered[best] < max(2, 0.004 * n_toxic):
             break
         chosen.add(best)
-        left = [d for d in left if best not in d]
-    return {f: weight[f] for f in chosen}
+        left = [(d, n) for d, n in left if best not in d]
+    return chosen
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base of a logistic regression on one number, lightly held towards zero."""
-    a, b = 1.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and base of a logistic regression on one number, lightly held towards zero; ``n`` rows have each x and y."""
+    a, b = 1.0, math.log(((n * y).sum() + 0.5) / ((n * (1 - y)).sum() + 0.5))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((y - p) * x).sum() - 0.5 * (a - 1), (y - p).sum()])
+        w = n * (p * (1 - p) + 1e-6)
+        off = n * (y - p)
+        g = np.array([(off * x).sum() - 0.5 * (a - 1), off.sum()])
         h = np.array([[(w * x * x).sum() + 0.5, (w * x).sum()], [(w * x).sum(), w.sum()]])
         step = np.clip(np.linalg.solve(h, g), -1, 1)
         a, b = a + step[0], b + step[1]
@@ -331,91 +355,169 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def marked(df: DataFrame, place, by: DataFrame, by_place) -> DataFrame:
+    """Rows whose place, a number, is one of those in ``by``: 64 places are a row of what is sent out."""
+    bits = by.select(F.shiftright(by_place, 6).alias("word"), (by_place % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    near = df.select("*", F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
+    return near.join(F.broadcast(bits), "word").where("shiftright(bits, bit) & 1 = 1").drop("word", "bit", "bits")
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their labels, y; most that have none are left out before anything is exchanged."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))  # so at most MARKS / 64 rows are sent out
+    return marked(docs, place, known, place).join(known, "doc_id")
+
+
+def without_near_copies(marks: DataFrame) -> DataFrame:
+    """The rows of y, copy, sketch that near_copies_of, on all of one y in order of copy, leaves."""
+    bands = (F.xxhash64(F.lit(i), F.substring("sketch", 4 * i + 1, 4 * BAND)) for i in range(0, COORDINATES, BAND))
+    bands = marks.select("y", "copy", F.explode(F.array(*bands)).alias("band"))
+    first = bands.groupBy("y", "band").agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = bands.join(first, ["y", "band"]).where("copy <> first").select("y", "copy", "first").distinct()
+    pairs = pairs.join(marks.select("y", "copy", "sketch"), ["y", "copy"]).join(marks.select("y", F.col("copy").alias("first"), F.col("sketch").alias("other")), ["y", "first"])
+    same = F.filter(F.sequence(F.lit(1), F.lit(4 * COORDINATES), F.lit(4)), lambda i: F.substring(F.col("sketch"), i, F.lit(4)) == F.substring(F.col("other"), i, F.lit(4)))
+    return marks.join(pairs.where(F.size(same) >= COPY * COORDINATES).select("y", "copy").distinct(), ["y", "copy"], "left_anti")
+
+
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, stages: Stages, label: str = "toxic") -> tuple[Weights | float, dict[str, int]]:
-    """Learns weights, or without both classes the share of label 1 (0 without labels); with the known words and their counts."""
+    """Learns weights, or without both classes the share of label 1 (0 without labels); with the known words and their counts.
+
+    What the driver gets are forms that a share of the rows have, and counts by distinct sets or sums of them.
+    """
     from tidelog.llm.quality import held_out
 
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = known.distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAINING_ROWS)
-    schema = pa.schema([("y", pa.int32()), ("copy", pa.int64()), ("sketch", pa.binary()), ("words", pa.list_(pa.string()))])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
+    if TRAINING_ROWS is not None:
+        known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAINING_ROWS)
+    # stored, since row numbers would differ when computed again
+    rows = stages.keep(few(labelled(docs, known).select("y", F.monotonically_increasing_id().alias("number"), "text"), docs))
+    spelt = stages.keep(few(rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n")), docs))
+    often = max(2, math.ceil(KNOWN_SHARE * (spelt.agg(F.sum("n")).first()[0] or 0)))
+    known_words = {r.word: r.n for r in spelt.where(F.col("n") >= often).collect()}
 
-    def words(batches):
-        read = Restorer(counts, words=known_words)
+    def sketched(batches):
         for b in slices(batches, "text"):
-            found = [sorted(read(text_of(t))) for t in b.column(1).to_pylist()]
-            sketches = [sketch(text_of(t)) for t in b.column(1).to_pylist()]
+            texts = [text_of(t) for t in b.column(2).to_pylist()]
+            sketches = [sketch(t) for t in texts]
             copies = [xxhash.xxh3_64_intdigest(x) >> 1 for x in sketches]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, schema.field(3).type)], schema=schema)
-
-    # at most TRAINING_ROWS ids of 12 bytes
-    rows = docs.join(F.broadcast(sample), "doc_id").select("y", "text")
-    spelt = stages.keep(rows.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n")))
-    often = max(2, math.ceil(KNOWN_SHARE * (spelt.agg(F.sum("n")).first()[0] or 0)))
-    known_words = {r.word: r.n for r in spelt.where(F.col("n") >= often).collect()}
-    seen = rows.mapInArrow(words, "y int, copy long, sketch binary, words array<string>")
-    seen = stages.keep(seen.groupBy("copy", "y").agg(F.min("sketch").alias("sketch"), F.min("words").alias("words")))
-    sketches = seen.select("y", "copy", "sketch").orderBy("y", "copy").collect()  # TRAINING_ROWS at most, of 4 * COORDINATES bytes
-    if again := [(r.copy, r.y) for y in (0, 1) for r in near_copies_of([r for r in sketches if r.y == y])]:
-        seen = stages.keep(seen.join(F.broadcast(docs.sparkSession.createDataFrame(again, "copy long, y int")), ["copy", "y"], "left_anti"))
-    n = {r.y: r["count"] for r in seen.groupBy("y").count().collect()}
+            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(sketches, pa.binary())], names=["y", "number", "key", "copy", "sketch"])
+
+    marks = rows.mapInArrow(sketched, "y int, number long, key binary, copy long, sketch binary")
+    marks = marks.groupBy("y", "copy").agg(F.min("sketch").alias("sketch"), F.min(F.struct("key", "number")).alias("row"))
+    marks = stages.keep(marks.select("y", "copy", "sketch", F.col("row.number").alias("number")), rows.count())
+    # numbers are dense within a part, so the marks take about a bit for each row
+    texts = stages.keep(few(marked(rows, F.col("number"), without_near_copies(marks), F.col("number")).select("y", "text"), docs))
+    stages.only(texts)
+    n = {r.y: r["count"] for r in texts.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return float(n.get(1, 0) > 0 and n.get(1, 0) / sum(n.values())), known_words
 
-    def counted(df: DataFrame, keep: frozenset | None) -> DataFrame:
+    def restored(y: int, among: frozenset | None = None) -> DataFrame:
+        """The words of each row of a class; of those without a form in ``among`` only some."""
+
         def run(batches):
-            c: Counter = Counter()
-            for b in batches:
-                for ws in b.column(0).to_pylist():
-                    forms = {f for w in ws for f in beginnings(w)}
-                    c.update(forms if keep is None else forms & keep)
+            read = Restorer(counts, tuple, known_words) if among is None else Restorer(counts, _holding(among), known_words, {f[:3] for f in among})
+            for b in slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(read(text_of(t))) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["words"])
+
+        return stages.keep(texts.where(F.col("y") == y).select("text").mapInArrow(run, "words array<string>"))
+
+    def counted(df: DataFrame, of, least: float) -> dict[str, int]:
+        """The rows that have what ``of`` makes of a value, where these are ``least`` or more."""
+
+        column = df.columns[0]
+
+        def run(batches):
+            c, made = Counter(), of()
+            for b in slices(batches, column):
+                for x in b.column(0).to_pylist():
+                    c.update(made(x))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["form", "n"])
 
-        return df.select("words").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+        return {r.form: r.n for r in df.mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
 
     least = max(2, math.ceil(0.002 * n[1]))
-    toxic = {r.form: r.n for r in counted(seen.where("y = 1"), None).where(F.col("n") >= least).collect()}  # least, a share of the rows, bounds them
-    clean = {r.form: r.n for r in counted(seen.where("y = 0"), frozenset(toxic)).collect()}
-    telling = frozenset(f for f in toxic if toxic[f] / n[1] > 8 * clean.get(f, 0) / n[0])
-
-    def present(batches):
+    words = {1: restored(1)}
+    toxic = counted(words[1], lambda: _forms(None), least)
+    # words that stand plainly in clean rows rule out most forms, first alone, then by their beginnings; the others are counted with every disguise
+    given = texts.where("y = 0").select("text")
+    fewest: dict[str, int] = {}
+    for w, k in counted(given, lambda: _plain, least * n[0] / n[1] / 16).items():
+        for f in beginnings(w):
+            fewest[f] = max(k, fewest.get(f, 0))
+    among = frozenset(weights_of(toxic, fewest, n[1], n[0]))
+    fewest = counted(given, lambda: _plain_forms(among), 1)
+    among = frozenset(weights_of({f: toxic[f] for f in among}, fewest, n[1], n[0]))
+    words[0] = restored(0, among)
+    clean = counted(words[0], lambda: _forms(among), 1)
+    weight = weights_of({f: toxic[f] for f in among}, clean, n[1], n[0])
+    chosen = common_forms(weight, toxic, n[1])
+
+    def uncommon(batches):
+        forms = _forms(frozenset(weight))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted({f for w in ws for f in beginnings(w)} & telling) for ws in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["forms"])
+            found = [forms(ws) for ws in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(x) for x in found if x and not x & chosen], pa.list_(pa.string()))], names=["forms"])
 
-    documents = [set(r.forms) for r in seen.where("y = 1").select("words").mapInArrow(present, "forms array<string>").collect()]  # TRAINING_ROWS at most
-    weights = choose_forms(toxic, clean, documents, n[1], n[0])
+    left = words[1].mapInArrow(uncommon, "forms array<string>").groupBy("forms").count().collect()  # a row for each distinct set
+    chosen |= cover(weight, sorted(((frozenset(r.forms), r["count"]) for r in left), key=lambda x: sorted(x[0])), n[1])
+    weights = {f: weight[f] for f in sorted(chosen)}
 
     def evidence(batches):
         w = Weights(weights, 1, 0)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.evidence(w.weighed(ws)) for ws in b.column(1).to_pylist()], pa.float64())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.evidence(w.weighed(ws)) for ws in b.column(0).to_pylist()], pa.float64())], names=["x"])
 
-    xy = sorted(seen.select("y", "words").mapInArrow(evidence, "y int, x double").collect())  # TRAINING_ROWS at most
-    slope, base = calibrate(np.array([r.x for r in xy]), np.array([r.y for r in xy], float))
+    # a row for each distinct sum
+    xyn = sorted((r.x, y, r["count"]) for y in (0, 1) for r in words[y].mapInArrow(evidence, "x double").groupBy("x").count().collect())
+    slope, base = calibrate(*np.array(xyn, float).T)
     return Weights(weights, slope, base), known_words
 
 
+def _forms(among: frozenset | None):
+    """A function from words to their forms, of which only those ``among``."""
+    memo = Memo(lambda w: frozenset(beginnings(w)) if among is None else among.intersection(beginnings(w)), 1 << 14)
+    return lambda words: set().union(*map(memo.__getitem__, words))
+
+
+def _holding(among: frozenset):
+    """A function that leaves the words with a form ``among``."""
+    return lambda words: tuple(w for w in words if not among.isdisjoint(beginnings(w)))
+
+
+def _plain(text: str | None) -> list[str]:
+    """Words of the text that Restorer finds whatever else it finds."""
+    return [t for t in set(text_of(text).lower().split()) if len(t) > 2 and t.isalpha()]
+
+
+def _plain_forms(among: frozenset):
+    forms = _forms(among)
+    return lambda text: forms(_plain(text))
+
+
 def sketch(text: str) -> bytes:
     """Least hashes of the text's word triples, one for each of COORDINATES mixings."""
     w = text.split()
-    h = np.array([xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
-    with np.errstate(over="ignore"):
-        least = [int(((x := (h ^ salt) * np.uint64(0xD6E8FEB86659FD93)) ^ (x >> np.uint64(32))).astype(np.uint32).min()) for salt in _SALTS]
-    return np.array(least, "<u4").tobytes()
+    triples = zip(w, w[1:], w[2:], strict=False) if len(w) > 2 else [w]
+    h = np.array([xxhash.xxh3_64_intdigest(" ".join(x)) for x in triples], np.uint64)
+    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(h), 1024):
+        x = (h[None, at : at + 1024] ^ _SALTS[:, None]) * np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, (x ^ (x >> np.uint64(32))).astype(np.uint32).min(axis=1), out=least)
+    return least.astype("<u4").tobytes()
 
 
 def near_copies_of(rows: list) -> list:
-    """The rows whose sketch agrees with that of an earlier row that is kept, in COPY of the coordinates or more."""
-    kept: dict[tuple[int, bytes], list[np.ndarray]] = {}
+    """The rows whose sketch agrees in COPY of the coordinates or more with that of the first row of one of their bands."""
+    first: dict[tuple[int, bytes], np.ndarray] = {}
     out = []
     for r in rows:
         raw = bytes(r.sketch)
-        mine, bands = np.frombuffer(raw, "<u4"), [(i, raw[i : i + 16]) for i in range(0, len(raw), 16)]
-        if any((mine == x).mean() >= COPY for band in bands for x in kept.get(band, ())):
+        mine = np.frombuffer(raw, "<u4")
+        of = [first.setdefault((i, raw[i : i + 4 * BAND]), mine) for i in range(0, len(raw), 4 * BAND)]
+        if any(x is not mine and (mine == x).mean() >= COPY for x in of):
             out.append(r)
-        else:
-            for band in bands:
-                kept.setdefault(band, []).append(mine)
     return out
 
 
