@@ -549,6 +549,12 @@ def test_near_copies_of_labelled_rows(spark):
     assert gone and sorted(left + gone) == [(r.y, r.copy) for r in listed]
 
 
+def test_scores_of_a_small_table_are_few_parts(spark, docs, tmp_path):
+    docs.repartition(30).write.parquet(f"{tmp_path}/documents.parquet")
+    scored = toxicity.score_toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert scored.rdd.getNumPartitions() == 1 and scored.count() == docs.count()
+
+
 # -- personal data --------------------------------------------------------------
 
 PERSONAL = [

@@ -560,7 +560,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.mapInArrow(apply, "doc_id long, score double")
+    scored = few(docs.mapInArrow(apply, "doc_id long, score double"), docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
