@@ -14,3 +14,8 @@ def duck():
 @pytest.mark.parametrize("name", list(core.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     assert_same(core.queries()[name](spark, SF), duck, core.oracle_sql()[name])
+
+
+def test_damage_in_every_run(spark, duck, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.runs.RANGE_BYTES", 1024)  # several runs
+    assert_same(core.queries()["kv_store_damaged"](spark, SF), duck, core.oracle_sql()["kv_store_damaged"])

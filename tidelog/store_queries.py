@@ -25,6 +25,7 @@ from tidelog.plans.cache import LruCache, ScanCache
 from tidelog.plans.stats import Timer, Timings
 from tidelog.queries import LATEST, LIVE_O, META_L, O, lines, view_l, view_o
 from tidelog.sources.files import scratch
+from tidelog.sources.runs import RUN_FILE_SCHEMA, described
 from tidelog.store import Store
 
 #: Few operations, for queries that call the store once for each; events of the first users.
@@ -269,19 +270,20 @@ def damaged(spark, sf) -> DataFrame:
     store = opened(spark)
     store.write_frame(ops(spark, sf))
     store.flush()
-    run = store.manifest.runs[0]
-    held = spark.read.parquet(run.path)
+    held = spark.read.schema(RUN_FILE_SCHEMA).parquet(*(r.path for r in store.manifest.runs)).withColumn("run", F.md5(F.input_file_name()))
     at = scratch(spark, "damaged") + "/runs/L0-damaged"
     bad = F.col("key").cast("string").cast("long") % 10 == 3
-    held.withColumn("value", F.when(bad, F.coalesce(F.concat("value", F.lit(b"!")), F.lit(b"!"))).otherwise(F.col("value"))).coalesce(1).write.parquet(at)
-    path = spark.read.parquet(at).inputFiles()[0]
-    store.manifest = replace(store.manifest, runs=(replace(run, path=path), *store.manifest.runs[1:]))
-    found = [x for x in store.verify() if "checksum" in x]
+    changed = held.withColumn("value", F.when(bad, F.coalesce(F.concat("value", F.lit(b"!")), F.lit(b"!"))).otherwise(F.col("value")))
+    # every run, a file for each
+    changed.repartition(len(store.manifest.runs), "run").sortWithinPartitions("run", "key").write.partitionBy("run").parquet(at)
+    path = {r.min_key: r.path for r in described(spark, [at], {at: 0}, None)}
+    store.manifest = replace(store.manifest, runs=tuple(replace(r, path=path[r.min_key]) for r in store.manifest.runs))
+    found = [int(x.split(": ")[1].split()[0]) for x in store.verify() if "checksum" in x]
     try:
         said = str(store.get("00000003"))
     except model.CorruptionError:
         said = "CorruptionError"
-    return rows(spark, "bad long, lookup string, sound string", [(int(found[0].split(": ")[1].split()[0]) if found else 0, said, (store.get("00000001") or b"").decode())])
+    return rows(spark, "bad long, lookup string, sound string", [(sum(found), said, (store.get("00000001") or b"").decode())])
 
 
 # -- the handle: buffer, transactions, reads, cursor ------------------------------------
