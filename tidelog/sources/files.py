@@ -41,6 +41,11 @@ class Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.full(name)), True)
 
+    def move(self, name: str, to: str) -> None:
+        """Gives ``name`` the full path ``to``, which must not be there."""
+        if not self._fs.rename(self._path(self.full(name)), self._path(to)):
+            raise OSError(f"{self.full(name)} could not be moved to {to}")
+
     def read_json(self, name: str) -> dict:
         stream = self._fs.open(self._path(self.full(name)))
         try:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import io
 import json
-import uuid
 from urllib.error import HTTPError
 from urllib.request import urlopen
 
@@ -223,15 +222,12 @@ def prefixed(spark, sf) -> DataFrame:
 
 def hourly(spark, sf) -> DataFrame:
     """The newest operation of each key and hour, of hours that the stream's watermark has closed."""
-    from tidelog.streaming.ingest import latest_per_key
+    from tidelog.streaming.ingest import latest_per_key, replayed
 
-    at, name = scratch(spark, "hourly"), f"hourly_{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf}/events.parquet")
-    e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(at)
-    changes = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
-    newest = latest_per_key(changes, "ts")
-    newest.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{at}-check").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("key", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "seq", "is_tombstone")
+    changes = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("is_tombstone"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    newest = replayed(changes, "ts", lambda stream: latest_per_key(stream, "ts"), "key string, hour timestamp, seq long, is_tombstone boolean, value string")
+    return newest.select("key", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "seq", "is_tombstone")
 
 
 def streamed(spark, sf) -> DataFrame:
