@@ -459,3 +459,16 @@ def test_commits_write_what_changed(spark, tmp_path, monkeypatch):
         s.collect_garbage(keep=1, grace=0)
         s.put("x", "1")
     assert len(contents(Store.open(spark, c))) == 12
+
+
+def test_small_runs_share_a_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    with Store.open(spark, Config(str(tmp_path / "db"), max_run_size=400, memtable_size_limit=1 << 40, l0_compaction_trigger=1000)) as s:
+        s.write_frame(spark.range(3000).select(F.lpad(F.col("id").cast("string"), 8, "0").alias("key"), F.col("id").alias("seq"), F.lit(False).alias("is_tombstone"), F.lit("x").alias("value")))
+        s.flush()
+        s.compact_level(0)
+        # a range of keys writes many runs: the runs before the last one of each are full
+        runs = s.manifest.level(1)
+        assert {r.path.rsplit("/part-", 1)[1][:5] for r in runs} == {"00000"} and len(runs) == -(-3000 // 44)
+        assert max(r.bytes for r in runs) < 8000 and s.verify() == [] and s.scan().count() == 3000

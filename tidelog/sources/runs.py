@@ -28,11 +28,12 @@ def write_runs(ops: DataFrame, root: str, prefix: str, level: int, sequence: int
     """Resolves operations (``size`` bytes, ``entries`` rows at most) and writes them as runs that don't overlap.
 
     One exchange deals the operations by key range; they are resolved, sorted and written
-    inside their range. If the whole might exceed a run, each range closes a run before the
-    entry that would exceed ``max_run_size``. ``keep`` filters resolved entries.
+    inside their range, which is never less than RANGE_BYTES of a larger whole, however small
+    the runs. If the whole might exceed a run, each range closes a run before the entry that
+    would exceed ``max_run_size``. ``keep`` filters resolved entries.
     """
     spark = ops.sparkSession
-    n = max(1, math.ceil(size / config.max_run_size), min(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
+    n = max(1, math.ceil(size / max(config.max_run_size, RANGE_BYTES)), min(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
     merged = newest(ops.repartitionByRange(n, "key"))
     merged = (merged if keep is None else merged.where(keep)).withColumn("crc", entry_crc()).sortWithinPartitions("key")
     path, split = f"{root}/runs/{prefix}", size > config.max_run_size
@@ -43,7 +44,7 @@ def write_runs(ops: DataFrame, root: str, prefix: str, level: int, sequence: int
         .option("parquet.compression.codec.zstd.level", config.compression_level)
         .option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.fpp#key", config.bloom_fpp)
-        .option("parquet.bloom.filter.expected.ndv#key", max(1000, entries // n))
+        .option("parquet.bloom.filter.expected.ndv#key", max(1000, entries // max(n, math.ceil(size / config.max_run_size))))
     )
     (writer.partitionBy("output_run") if split else writer).parquet(path)
     return described(spark, [path], {path: level}, sequence)
