@@ -69,3 +69,19 @@ def test_packed_filters(spark, monkeypatch):
     for bad in (b"", raw[:-1], raw + b"x"):
         with pytest.raises(CorruptionError):
             bloom.unpack(bad)
+
+
+def test_large_filters_are_dealt_by_their_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(2000).selectExpr("concat('key-', id) as key")
+    bits, hashes = bloom.sizing(1000, 0.01)
+    small = {r.key: r.may_contain for r in bloom.probe(keys, bloom.build(keys.limit(1000), bits, hashes), bits, hashes).collect()}
+    monkeypatch.setattr(bloom, "SHIPPED_BYTES", 1)
+    monkeypatch.setattr(bloom, "TASK_BITS", 1000, raising=False)
+    words = bloom.build(keys.limit(1000), bits, hashes)
+    found = bloom.probe(keys, words, bits, hashes).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.key: r.may_contain for r in found} == small
+    # more tasks than shuffle partitions: a task's share does not grow with the filter
+    assert len({r.task for r in found}) > 4
+    assert words.select(F.spark_partition_id()).distinct().count() > 4

@@ -24,6 +24,8 @@ MIX_2 = 0xC4CEB9FE1A85EC53
 LEAST_BITS = 64
 #: A filter up to this size is gathered on the driver and shipped whole; a larger one stays distributed.
 SHIPPED_BYTES = 8 << 20
+#: Bits of a larger filter that a task has to do with.
+TASK_BITS = 1 << 20
 
 
 def sizing(capacity: int, fpp: float) -> tuple[int, int]:
@@ -70,8 +72,18 @@ def positions(keys, bits: int, hashes: int) -> np.ndarray:
         return (h1[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]) % np.uint64(bits)
 
 
+def tasks(bits: int) -> int | None:
+    """Into how many partitions the words of a filter are dealt, and keys that are asked of it; None for one that is shipped."""
+    return None if bits <= 8 * SHIPPED_BYTES else math.ceil(bits / TASK_BITS)
+
+
+def dealt(df: DataFrame, by: str, n: int | None) -> DataFrame:
+    """Dealt by a column before it is aggregated, so that a task holds its share only and not all that its input may hold."""
+    return df if n is None else df.repartition(n, by)
+
+
 def build(keys: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFrame:
-    """One row per set 64-bit word: (word, mask). Words are or-ed map-side, then once per word."""
+    """One row per set 64-bit word: (word, mask). Words of a small filter are or-ed map-side, then once per word."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,7 +91,7 @@ def build(keys: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFram
             mask = np.left_shift(np.uint64(1), p & np.uint64(63)).view(np.int64)
             yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "mask": mask})
 
-    return keys.select(key).mapInPandas(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    return dealt(keys.select(key).mapInPandas(words, "word long, mask long"), "word", tasks(bits)).groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
 def gathered(filter_words: DataFrame, bits: int) -> np.ndarray:
@@ -116,7 +128,7 @@ def may_contain(keys, words: np.ndarray, bits: int, hashes: int) -> np.ndarray:
 def probe(keys: DataFrame, filter_words: DataFrame, bits: int, hashes: int, key: str = "key") -> DataFrame:
     """Distinct ``keys`` with ``may_contain``."""
     kind = keys.schema[key].dataType.simpleString()
-    asked = keys.select(key).distinct()
+    asked = dealt(keys.select(key), key, tasks(bits)).distinct()
     if bits <= 8 * SHIPPED_BYTES:
         return probe_words(asked, gathered(filter_words, bits), bits, hashes, key)
 
@@ -126,9 +138,9 @@ def probe(keys: DataFrame, filter_words: DataFrame, bits: int, hashes: int, key:
             yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), hashes), "word": (p.ravel() >> np.uint64(6)).astype(np.int64), "bit": (p.ravel() & np.uint64(63)).astype(np.int64)})
 
     # a large filter stays where it is: words are joined, not sent around
-    asked = asked.mapInPandas(wanted, f"{key} {kind}, word long, bit long")
+    asked = dealt(asked.mapInPandas(wanted, f"{key} {kind}, word long, bit long"), "word", tasks(bits))
     hit = F.coalesce(F.shiftrightunsigned("mask", 0).bitwiseAND(F.expr("shiftleft(1L, cast(bit as int))")) != 0, F.lit(False))
-    return asked.join(filter_words, "word", "left").groupBy(key).agg(F.every(hit).alias("may_contain"))
+    return dealt(asked.join(filter_words, "word", "left").select(key, hit.alias("_hit")), key, tasks(bits)).groupBy(key).agg(F.every("_hit").alias("may_contain"))
 
 
 def probe_words(keys: DataFrame, words: np.ndarray, bits: int, hashes: int, key: str = "key") -> DataFrame:
