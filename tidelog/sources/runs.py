@@ -28,12 +28,13 @@ def write_runs(ops: DataFrame, root: str, prefix: str, level: int, sequence: int
     """Resolves operations (``size`` bytes, ``entries`` rows at most) and writes them as runs that don't overlap.
 
     One exchange deals the operations by key range; they are resolved, sorted and written
-    inside their range, which is never less than RANGE_BYTES of a larger whole, however small
-    the runs. If the whole might exceed a run, each range closes a run before the entry that
+    inside their range. However small the runs, there are no more ranges than cores, or than
+    RANGE_BYTES go into the whole. If the whole might exceed a run, each range closes a run before the entry that
     would exceed ``max_run_size``. ``keep`` filters resolved entries.
     """
     spark = ops.sparkSession
-    n = max(1, math.ceil(size / max(config.max_run_size, RANGE_BYTES)), min(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)))
+    cores, ranges = spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES)
+    n = max(1, min(math.ceil(size / config.max_run_size), max(cores, ranges)), min(cores, ranges))
     merged = newest(ops.repartitionByRange(n, "key"))
     merged = (merged if keep is None else merged.where(keep)).withColumn("crc", entry_crc()).sortWithinPartitions("key")
     path, split = f"{root}/runs/{prefix}", size > config.max_run_size
